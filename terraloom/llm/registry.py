@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bitpack, jaccard, oracles, packing, quality
+from terraloom.llm import bitpack, decontam, jaccard, oracles, packing, quality
 from terraloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_shards(bitpack.write_shards(table(spark, sf_dir, "documents")))
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
+    "op5_decontamination": op5_decontamination,
     "op6_bit_packing": op6_bit_packing,
 }
 
