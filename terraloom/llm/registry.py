@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bitpack, decontam, jaccard, oracles, packing, quality
+from terraloom.llm import bitpack, decontam, jaccard, linedup, oracles, packing, quality
 from terraloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,17 @@ def op6_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_shards(bitpack.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op6_bit_packing": op6_bit_packing,
+    "op7_line_dedup": op7_line_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
