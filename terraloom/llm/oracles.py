@@ -14,3 +14,16 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc
 c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c USING (doc_id)
 """
+
+#: Turns, escaped as the template escapes them: one backslash for each control string.
+OP8 = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terraloom.llm import bitpack, decontam, jaccard, linedup, oracles, packing, quality
+from terraloom.llm import bitpack, chat, decontam, jaccard, linedup, oracles, packing, quality, wordpiece
 from terraloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    return chat.read_back(chat.render(chat.fold(events)))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_jaccard_join": op2_jaccard_join,
@@ -43,9 +56,12 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_bit_packing": op6_bit_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_chat_format": op8_chat_format,
+    "op9_token_counts": op9_token_counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": oracles.OP2,
+    "op8_chat_format": oracles.OP8,
 }
