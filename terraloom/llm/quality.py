@@ -116,13 +116,23 @@ def weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["ratio"]).alias("weights"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, the counts, base_failed, score (null without n-grams) and kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _judged(docs: DataFrame, labels: DataFrame, min_score: float) -> DataFrame:
+    """Adds the counts, base_failed, score and kept to rows with doc_id and text."""
     model = materialise(weights(docs, labels), "weights")
     told = base_counts(hashed(docs)).withColumn("g", features()).withColumn("weights", model.scalar())
     score = F.aggregate("g", F.lit(0.0), lambda a, x: a + F.get("weights", x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     told = told.withColumns({"base_failed": failed, "score": F.when(F.size("g") > 0, score / F.size("g"))})
-    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= min_score, F.lit(False))
-    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    return told.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= min_score, F.lit(False)))
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """doc_id, the counts, base_failed, score (null without n-grams) and kept."""
+    told = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, min_score)
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents, with all their columns, that ``judge`` keeps; nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    return _judged(rows, labels, min_score).where("kept").select("row.*")
