@@ -1,4 +1,7 @@
 """All queries of the engine by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from terraloom.plans import geometry
+
+_MODULES = (geometry,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
