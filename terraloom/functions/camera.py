@@ -54,10 +54,11 @@ def pixels_to_ground(df: DataFrame, fx: float, fy: float, cx: float, cy: float,
     on_miss: ``null`` keeps pixels at or above the horizon with null positions, ``drop``
     leaves them out, ``error`` raises.
     """
-    df = enu_to_latlon(flat_hit(world_ray(df, u, v, fx, fy, cx, cy), height, "_east", "_north"), "_east", "_north", cam_lat, cam_lon)
+    df = flat_hit(world_ray(df, u, v, fx, fy, cx, cy), height, "_east", "_north")
+    if on_miss == "drop":  # here, as a filter above the geodesic would repeat its whole chain
+        df = df.where("_east IS NOT NULL")
+    df = enu_to_latlon(df, "_east", "_north", cam_lat, cam_lon)
     df = df.drop("_east", "_north", "ray_e", "ray_n", "ray_u", *AXES)
-    if on_miss == "drop":
-        return df.where("lat IS NOT NULL")
     if on_miss == "error":
         return df.withColumn("lat", F.coalesce("lat", F.raise_error(F.lit("a pixel's ray doesn't meet the ground")).cast("double")))
     return df

@@ -12,8 +12,8 @@ c = F.col
 
 def pixel_grid(cameras: DataFrame, width: int, height: int, step: int) -> DataFrame:
     """Every camera's pixels (u, v) at each ``step``; rows from the top, then columns."""
-    rows = cameras.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))).cast("int"))
-    rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step))).cast("int"))
+    rows = cameras.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))))
+    rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step))))
     return rows.withColumns({"u": c("u").cast("double"), "v": c("v").cast("double")})
 
 

@@ -53,7 +53,7 @@ def gcp_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cameras = camera.prepare_cameras(view(spark, sf_dir, "camera"))
     known = view(spark, sf_dir, "gcp").withColumnsRenamed({"lat": "known_lat", "lon": "known_lon", "pixel_u": "u", "pixel_v": "v"})
     df = points.residuals(camera.pixels_to_ground(known.join(cameras, "cam_id"), *K))
-    return df.select("gcp_id", F.round("err_lat", 7).alias("err_lat"), F.round("err_lon", 7).alias("err_lon"), F.round("err_m", 3).alias("err_m"))
+    return df.select("gcp_id", (F.round("err_lat", 7) + 0.0).alias("err_lat"), (F.round("err_lon", 7) + 0.0).alias("err_lon"), F.round("err_m", 3).alias("err_m"))
 
 
 def gcp_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ ORACLE = {
     "gsd": sql("camera") + f" SELECT cam_id, round(height/sin(abs(radians(pitch)))/{FX!r}::DOUBLE, 10) AS gsd_x, round(height/sin(abs(radians(pitch)))/{FY!r}::DOUBLE, 10) AS gsd_y FROM v_camera",
     "scale_k": sql("camera") + f", s AS (SELECT cam_id, (800 + (cam_id % 7) * 200)::DOUBLE AS w, (600 + (cam_id % 5) * 150)::DOUBLE AS h FROM v_camera) SELECT cam_id, round({FX!r}::DOUBLE*w/{WIDTH}::DOUBLE, 8) AS fx, round({FY!r}::DOUBLE*h/{HEIGHT}::DOUBLE, 8) AS fy, round({CX!r}::DOUBLE*w/{WIDTH}::DOUBLE, 8) AS cx, round({CY!r}::DOUBLE*h/{HEIGHT}::DOUBLE, 8) AS cy FROM s",
     "nominal_k": sql("camera") + ", s AS (SELECT cam_id, (640 + (cam_id % 9) * 160)::DOUBLE AS w, (480 + (cam_id % 6) * 120)::DOUBLE AS h FROM v_camera) SELECT cam_id, round(3.6e0/3.68e0*w, 8) AS fx_sensor, round(3.6e0/2.76e0*h, 8) AS fy_sensor, round(2000*w/2592, 8) AS fx_terrain, round(4.44e0/4.614e0*w, 8) AS fx_phone, w/2 AS cx, h/2 AS cy FROM s",
-    "gcp_residuals": _gcp_hits() + ",\n" + sqlgeo.inverse("ik", "hit", "known_lat", "known_lon", "cam_lat", "cam_lon", "ke", "kn") + ",\n" + sqlgeo.inverse("ip", "ik", "lat", "lon", "cam_lat", "cam_lon", "pe", "pn2") + "\nSELECT gcp_id, round(coalesce(lat - known_lat, 'nan'::DOUBLE), 7) AS err_lat, round(coalesce(lon - known_lon, 'nan'::DOUBLE), 7) AS err_lon, round(coalesce(sqrt((pe-ke)*(pe-ke) + (pn2-kn)*(pn2-kn)), 'nan'::DOUBLE), 3) AS err_m FROM ip",
+    "gcp_residuals": _gcp_hits() + ",\n" + sqlgeo.inverse("ik", "hit", "known_lat", "known_lon", "cam_lat", "cam_lon", "ke", "kn") + ",\n" + sqlgeo.inverse("ip", "ik", "lat", "lon", "cam_lat", "cam_lon", "pe", "pn2") + "\nSELECT gcp_id, round(coalesce(lat - known_lat, 'nan'::DOUBLE), 7) + 0.0e0 AS err_lat, round(coalesce(lon - known_lon, 'nan'::DOUBLE), 7) + 0.0e0 AS err_lon, round(coalesce(sqrt((pe-ke)*(pe-ke) + (pn2-kn)*(pn2-kn)), 'nan'::DOUBLE), 3) AS err_m FROM ip",
     "gcp_rms": _gcp_hits() + "\nSELECT cam_id, count(*) AS n, round(sqrt(avg((lat-known_lat)*(lat-known_lat) + (lon-known_lon)*(lon-known_lon))/2), 7) AS rms_deg, round(sqrt(avg((lat-known_lat)*(lat-known_lat) + (lon-known_lon)*(lon-known_lon))/2)*111320*cos(radians(any_value(cam_lat))), 2) AS rms_m FROM hit WHERE lat IS NOT NULL GROUP BY cam_id",
     "aoi_box": sql("camera") + ", b AS (SELECT cam_id, cam_lat, cam_lon, 500e0/111320 AS dlat, 500e0/(111320*cos(radians(cam_lat))) AS dlon FROM v_camera) SELECT cam_id, vertex::BIGINT AS vertex, round(cam_lon + dlon*(CASE WHEN vertex IN (1, 2) THEN 1 ELSE -1 END), 7) AS lon, round(cam_lat + dlat*(CASE WHEN vertex IN (2, 3) THEN 1 ELSE -1 END), 7) AS lat FROM b, range(5) r(vertex)",
     "undistort": _undistort_sql() + "\nSELECT gcp_id, round(und_u, 5) AS und_u, round(und_v, 5) AS und_v FROM und",
