@@ -44,11 +44,11 @@ def _split(text) -> F.Column:
 
 def _pairs(hashes, step: int) -> F.Column:
     """Each hash combined with the one ``step`` places on; the last ``step`` are void."""
-    return F.zip_with(hashes, F.slice(hashes, step + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+    return let(hashes, lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.xxhash64(a, b)))
 
 
 def _head(values, drop: int) -> F.Column:
-    return F.slice(values, 1, F.greatest(F.size(values) - drop, F.lit(0)))
+    return let(values, lambda x: F.slice(x, 1, F.greatest(F.size(x) - drop, F.lit(0))))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -135,4 +135,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, with all their columns, that ``judge`` keeps; nothing is shuffled."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
-    return _judged(rows, labels, min_score).where("kept").select("row.*")
+    # the row number keeps the filter above the counts: pushed below, it would make them anew
+    told = _judged(rows, labels, min_score).withColumn("at", F.monotonically_increasing_id())
+    return told.where("kept AND at >= 0").select("row.*")
