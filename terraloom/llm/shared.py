@@ -32,6 +32,16 @@ def shared_base(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+#: Rows of an Arrow batch and, where Spark can cut batches by size, its bytes.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_base(spark))
@@ -64,12 +74,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and
     a lost executor costs a file read instead of a recomputation."""
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

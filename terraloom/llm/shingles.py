@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
