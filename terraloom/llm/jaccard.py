@@ -187,7 +187,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     classes = materialise(class_table(docs, size, lower), "classes")
     lists = postings(docs.where("doc_id is not null"), size, lower, percent, frequent(docs, size, lower))
-    pivots = lists.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
+    pivots = lists.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("p"), F.max("class").alias("last")).where("p.class <> last").select("shingle", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"))
     lists = materialise(lists.join(pivots, "shingle").dropDuplicates(["shingle", "class"]), "lists")
 
     wanted = classes.join(lists.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -196,7 +196,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     sets = set_table(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, lower)
     sets = materialise(sets.dropDuplicates(["class"]), "sets")
 
-    to_pivot = lists.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    # pairs that their sizes rule out aren't compared: of those only looser bounds are known
+    sized = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+    to_pivot = lists.where(F.col("class") != F.col("pivot")).where(sized).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     known = materialise(overlaps(to_pivot, sets), "overlaps")
     links = known.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     first = components(links)
