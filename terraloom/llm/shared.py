@@ -71,13 +71,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+#: Deletes the shuffle files of a statement when it has ended.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and
-    a lost executor costs a file read instead of a recomputation."""
-    bound_batches(df.sparkSession)
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    a lost executor costs a file read instead of a recomputation.  The shuffles that led
+    to it aren't needed any more, and their files go at once."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = new_path(spark, tag)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
