@@ -141,7 +141,12 @@ def set_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, o (shared shingles), na, nb for pairs of classes (a, b)."""
+    """a, b, o (shared shingles), na, nb for pairs of classes (a, b).  Only the sets of
+    classes in pairs are dealt out."""
+    pairs = materialise(pairs, "pairs")
+    members = materialise(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "members")
+    few = members.count() <= BROADCAST_ROWS
+    sets = sets.join(F.broadcast(members) if few else members, "class", "left_semi")
     a = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -208,7 +213,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     rows = lists.join(own, "class", "left").join(told, ["class", "pivot"], "left")
     self_ = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("o"))
     rows = rows.select("shingle", "class", "n", "pos", F.coalesce("component", "class").alias("component"), F.coalesce(self_, F.lit(0)).alias("lo"), F.coalesce(self_, F.col("n")).alias("hi"))
-    rest = overlaps(block_pairs(materialise(rows, "rows"), percent), sets)
+    rest = materialise(overlaps(block_pairs(materialise(rows, "rows"), percent), sets), "rest")
     more = rest.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
     found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
