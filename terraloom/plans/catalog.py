@@ -1,7 +1,7 @@
 """All queries of the engine by name, with their SQL."""
 
-from terraloom.plans import geometry
+from terraloom.plans import geometry, relational
 
-_MODULES = (geometry,)
+_MODULES = (geometry, relational)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
