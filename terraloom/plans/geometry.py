@@ -26,8 +26,7 @@ def flat_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = view(spark, sf_dir, "camera").where("cam_id <= 20")
-    cameras = camera.prepare_cameras(points.pixel_grid(one, WIDTH, HEIGHT, 100))
+    cameras = camera.prepare_cameras(points.pixel_grid(view(spark, sf_dir, "camera"), WIDTH, HEIGHT, 100))
     hits = camera.pixels_to_ground(cameras, *K, on_miss="drop")
     return hits.select("cam_id", c("u").cast("bigint").alias("pixel_x"), c("v").cast("bigint").alias("pixel_y"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 

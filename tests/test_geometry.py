@@ -9,7 +9,9 @@ import oracle
 
 from terraloom.functions import camera, geodesy
 from terraloom.operators import points
+from terraloom.plans import sqlgeo
 from terraloom.plans.catalog import ORACLE, QUERIES
+from terraloom.plans.views import CX, CY, FX, FY, HEIGHT, WIDTH, sql
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +21,14 @@ def test_query_matches_its_sql(spark, name):
     oracle.same(QUERIES[name](spark, SF), oracle.connect(SF), ORACLE[name])
 
 
+def test_grid_has_every_camera(spark):
+    px = f"SELECT rot.*, px::DOUBLE AS u, py::DOUBLE AS v FROM rot, range(0, {WIDTH}, 100) a(px), range(0, {HEIGHT}, 100) b(py)"
+    whole = sql("camera") + ",\n" + sqlgeo.rotation("rot", "v_camera") + f",\nj AS ({px}),\n" + sqlgeo.ray("ry", "j", FX, FY, CX, CY) + ",\n" + sqlgeo.direct("hit", "ry") + "\nSELECT cam_id, u::BIGINT AS pixel_x, v::BIGINT AS pixel_y, round(lat, 7) AS lat, round(lon, 7) AS lon FROM hit WHERE lat IS NOT NULL"
+    found = QUERIES["flat_grid"](spark, SF)
+    oracle.same(found, oracle.connect(SF), whole)
+    assert found.agg(F.max("cam_id")).first()[0] > 20
+
+
 def _hit(spark, u, v, pitch, on_miss="null"):
     df = spark.createDataFrame([(u, v, 0.0, 0.0, 10.0, 0.0, pitch, 0.0)], "u double, v double, cam_lat double, cam_lon double, height double, heading double, pitch double, roll double")
     return camera.pixels_to_ground(camera.prepare_cameras(df), 1200.0, 1200.0, 960.0, 540.0, on_miss=on_miss).collect()
