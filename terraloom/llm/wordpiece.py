@@ -6,8 +6,9 @@ taken off, and with the link goes how many pieces those are.  So a word is read
 each step adds precomputed counts, and no piece is ever built or looked up.
 
 The vocabulary is that of the public byte-level BPE: its pieces with a leading space
-open a word, all others continue one.  Words are runs without ASCII white space.  A
-word that the vocabulary can't spell counts as one unknown piece.
+open a word, all others continue one.  The lone space opens a word too, where no
+longer piece does.  Words are runs without ASCII white space.  A word that the
+vocabulary can't spell counts as one unknown piece.
 
 Null and empty texts have no words.  Repeated rows are each counted; an empty table
 gives an empty result; columns other than the id and the text are ignored.
@@ -33,9 +34,10 @@ COUNTS = "doc_id long, n_words long, n_tokens long, n_unknown long"
 
 class Automaton:
     """first: pieces that open a word; later: pieces that continue it (both without
-    any mark).  ``count(word)`` is the number of greedy pieces, or -1 if there are none."""
+    any mark; an empty first piece is a mark that stands alone).  ``count(word)`` is the number of greedy pieces, or -1 if there are none."""
 
     def __init__(self, first: Iterable[str], later: Iterable[str]):
+        first = set(first)
         # node 0 opens words, node 1 continues them
         self.edges: list[dict[str, int]] = [{}, {}]
         ends: list[bool] = [False, False]
@@ -50,6 +52,8 @@ class Automaton:
                     node = after
                 ends[node] = node > 1
         self.link, self.popped = [-1] * len(ends), [0] * len(ends)
+        if "" in first:
+            self.link[0], self.popped[0] = 1, 1
         queue = deque((r, c, n) for r in (0, 1) for c, n in self.edges[r].items())
         while queue:
             up, c, node = queue.popleft()
@@ -87,7 +91,7 @@ class Counter:
 
         pieces = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).get_vocab(with_added_tokens=False)
         self.letters, space = _byte_letters(), _byte_letters()[32]
-        self.automaton = Automaton([p[1:] for p in pieces if p[0] == space and len(p) > 1], [p for p in pieces if p[0] != space])
+        self.automaton = Automaton([p[1:] for p in pieces if p[0] == space], [p for p in pieces if p[0] != space])
         self.room, self.new, self.old = room, {}, {}
 
     def word(self, word: bytes) -> int:

@@ -164,6 +164,25 @@ def test_linear_counts_match_greedy_pieces():
         assert machine.count(word) == greedy(word), word
 
 
+def test_every_script_is_spelt_as_greedy_pieces_spell_it():
+    counter = wordpiece.Counter()
+    pieces = set(Tokenizer.from_file(public_tokenizers.path(wordpiece.VOCABULARY)).get_vocab(with_added_tokens=False))
+    space = counter.letters[32]
+
+    def greedy(word):
+        left, n = space + word.encode().decode("latin-1").translate(counter.letters), 0
+        while left:
+            end = next(e for e in range(len(left), 0, -1) if left[:e] in pieces)
+            left, n = left[end:], n + 1
+        return n
+
+    rng = random.Random(5)
+    words = "слово россия привет 中文文本 人工智能的发展非常迅速 한국어 ภาษาไทย چطور hello zzzz 123 é 😀".split()
+    words += ["".join(chr(rng.choice([rng.randint(0x21, 0x24F), rng.randint(0x400, 0x4FF), rng.randint(0xE00, 0xE5B), rng.randint(0x4E00, 0x9FFF), rng.randint(0xAC00, 0xD7A3), rng.randint(0x1F300, 0x1F6FF)])) for _ in range(rng.randint(1, 8))) for _ in range(2000)]
+    for word in words:
+        assert counter.word(word.encode()) == greedy(word), word
+
+
 def test_queries_keep_their_documents(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op7_line_dedup", "op9_token_counts"):
