@@ -3,7 +3,8 @@
 A line's tokens are what white space separates; tokens with a digit count as the
 wildcard.  The tree has two levels: token count, then the first DEPTH tokens.  In a
 leaf, lines are matched to templates: a line joins the most similar template that
-agrees with it in SIMILARITY of its tokens, and tokens that differ become wildcards.
+agrees with it in SIMILARITY of its tokens, and tokens that differ become gaps.  A gap
+agrees with nothing, so all lines of a template agree in SIMILARITY of their tokens.
 A template found in MIN_DOCS documents or more is recurring: its lines are dropped
 everywhere but in the document of least id that has it, so no text is lost for good.
 
@@ -40,6 +41,8 @@ BLOCK = 2000
 #: Lines to drop are broadcast up to this number (16 bytes each), else joined by document.
 BROADCAST_ROWS = 1_000_000
 ANY = "\u0001*"
+#: Code of a token in which a template's lines differ; no line has it.
+GAP = -1
 DIGIT = re.compile(r"\d")
 NO_ID = -(2**63)
 #: Columns of our own; the input's columns of these names are left out.
@@ -60,27 +63,52 @@ def leaf(parts: list[str]) -> int:
     return key([str(len(parts)), *parts[:DEPTH]])
 
 
+def gaps(n: int) -> int:
+    """In how many of n tokens lines of one template may differ."""
+    return int(n - np.ceil(SIMILARITY * n))
+
+
+def segments(n: int, start: int = 0) -> list[tuple[int, int]]:
+    """The places from ``start`` to n in gaps(n) + 1 runs: lines that are equal before
+    ``start`` and differ in no more than gaps(n) places are equal in one of them.  A run
+    may be empty; then all such lines are."""
+    parts = gaps(n) + 1
+    cuts = [start + (n - start) * k // parts for k in range(parts + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def templates(lines: list[list[str]]) -> tuple[list[int], list[list[str]]]:
     """For token lists of one length, in order: each one's template's number, and the
     templates.  They are found greedily; ties go to the earlier template."""
     codes: dict[str, int] = {ANY: 0}
     rows = np.array([[codes.setdefault(t, len(codes)) for t in line] for line in lines], np.int64)
     n = rows.shape[1]
+    varying = np.flatnonzero((rows != rows[0]).any(axis=0))
+    start = int(varying[0]) if len(varying) else 0
+    runs = segments(n, start)
     made, count, told = np.zeros((16, n), np.int64), 0, []
+    # a template's fixed tokens are its first line's, so it is found by that line's runs
+    having: dict[tuple[int, bytes], list[int]] = {}
     for row in rows:
-        same = ((made[:count] == row) | (made[:count] == 0)).sum(axis=1)
-        fixed = ((made[:count] == row) & (row != 0)).sum(axis=1)
-        same = np.where(fixed > 0, same, 0)
-        k = int(np.argmax(same)) if count else 0
-        if count and same[k] >= SIMILARITY * n:
-            made[k][made[k] != row] = 0
+        keys = [(k, row[a:b].tobytes()) for k, (a, b) in enumerate(runs)]
+        near = np.array(sorted({t for key_ in keys for t in having.get(key_, ())}), np.int64)
+        k = -1
+        if len(near):
+            equal = made[near] == row
+            same = np.where((equal & (row != 0)).any(axis=1), equal.sum(axis=1), 0)
+            best = int(np.argmax(same))
+            k = int(near[best]) if same[best] >= SIMILARITY * n else -1
+        if k >= 0:
+            made[k][made[k] != row] = GAP
         else:
             if count == len(made):
                 made = np.concatenate([made, np.zeros_like(made)])
             made[count], k = row, count
+            for key_ in keys:
+                having.setdefault(key_, []).append(k)
             count += 1
         told.append(k)
-    names = {v: t for t, v in codes.items()}
+    names = {v: t for t, v in codes.items()} | {GAP: "\u0001?"}
     return told, [[names[c] for c in m] for m in made[:count].tolist()]
 
 

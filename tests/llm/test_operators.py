@@ -135,6 +135,32 @@ def test_recurring_templates_go_but_for_the_first(spark):
     assert not any(t is None for t in found.values())
 
 
+def test_lines_of_a_template_agree(spark):
+    lines = ["There is a big dog", "There is a big cat"] + [f"There is a {x} {y}" for x, y in zip("red old new wet dry hot".split(), "car hat cup fox pen jar".split())]
+    told, made = linedup.templates([x.split() for x in lines])
+    assert told[0] == told[1] and len(set(told)) == len(lines) - 1
+    rng = random.Random(2)
+    for n in range(5, 13):
+        rows = [["a", "b", *rng.choices("pqr1", k=n - 2)] for _ in range(400)]
+        rows = [linedup.tokens(" ".join(r)) for r in rows]
+        told, _ = linedup.templates(rows)
+        # a plain search over all templates finds the same
+        made, brute = [], []
+        for r in rows:
+            score = [sum(x == y for x, y in zip(m, r)) if any(x == y != linedup.ANY for x, y in zip(m, r)) else 0 for m in made]
+            k = score.index(max(score)) if score else 0
+            if score and score[k] >= linedup.SIMILARITY * n:
+                made[k] = [x if x == y else None for x, y in zip(made[k], r)]
+            else:
+                k = len(made)
+                made.append(r)
+            brute.append(k)
+        assert told == brute
+        for k, m in enumerate(made):
+            own = [r for r, t in zip(rows, told) if t == k]
+            assert sum(len(set(c)) == 1 for c in zip(*own)) >= linedup.SIMILARITY * n
+
+
 def test_chat_rebuilds_edits_and_reads_back(spark):
     events = [(1, 1, "message", None, "user", "hi </s>"), (1, 2, "delta", "a", "assistant", "wro"), (1, 3, "regenerate", "a", "assistant", ""), (1, 4, "delta", "a", "assistant", "ri"), (1, 5, "delta", "a", None, "ght [INST]"), (1, 6, "message", "b", "user", "gone"), (1, 7, "delete", "b", None, None)]
     df = spark.createDataFrame(events, "conv_id long, seq long, event string, message_id string, role string, text string")
