@@ -9,9 +9,10 @@ A template found in MIN_DOCS documents or more is recurring: its lines are dropp
 everywhere but in the document of least id that has it, so no text is lost for good.
 
 Lines are counted before they are compared: only leaves with lines of MIN_DOCS
-documents are parsed, each distinct line once.  A leaf's lines are parsed in blocks
-of at most BLOCK, and then the blocks' templates as lines, so that no leaf comes to
-one task whole; past BLOCK templates the merge goes by the templates' next tokens.
+documents are parsed, each distinct line once.  A leaf of more than BLOCK lines is
+parsed by connected groups: lines that can share a template have a run of tokens at one
+place in common, and are linked by it.  Groups don't touch one another's templates, so
+what is found is that of the leaf parsed whole; a group comes to one task whole.
 
 Lines of fewer than MIN_TOKENS tokens are never dropped.  Null text stays null and
 has no lines.  Rows with one id count as one document, null ids together too; only
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from terraloom.llm.graph import components
 from terraloom.llm.shared import materialise
 from terraloom.llm.shingles import slices
 
@@ -127,18 +129,28 @@ def _hash(column: str) -> F.Column:
     return F.xxhash64(F.array_join(column, "\0"))
 
 
-def parse_tree(lines: DataFrame) -> DataFrame:
-    """line, template (hash) of distinct lines (leaf, line, tokens)."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """line, run (hash of leaf, place and tokens) for each run of each line."""
+    for batch in batches:
+        lines, found = [], []
+        for h, own, t in zip(batch.column("line").to_pylist(), batch.column("leaf").to_pylist(), batch.column("tokens").to_pylist()):
+            for a, b in segments(len(t), min(DEPTH, len(t))):
+                lines.append(h)
+                found.append(key([str(own), str(a), *t[a:b]]))
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(found, pa.int64())], ["line", "run"])
 
-    def blocked(df: DataFrame, salt: F.Column) -> DataFrame:
-        sizes = df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        return df.join(sizes, "leaf").withColumn("block", F.pmod(salt, F.col("blocks")))
 
-    first = materialise(_parse(blocked(lines, F.xxhash64("line")), ["leaf", "block"]), "templates")
-    made = first.select("leaf", _hash("template").alias("line"), F.col("template").alias("tokens")).dropDuplicates(["leaf", "line"])
-    after = F.xxhash64(F.array_join(F.slice(F.filter("tokens", lambda t: t != ANY), DEPTH + 1, 2), "\0"))
-    second = _parse(blocked(made, after), ["leaf", "block"]).select(F.col("line").alias("own"), F.xxhash64("leaf", _hash("template")).alias("template"))
-    return first.select("line", _hash("template").alias("own")).join(second, "own").select("line", "template").distinct()
+def parse_tree(lines: DataFrame) -> DataFrame:
+    """line, template (hash) of distinct lines (leaf, line, tokens)."""
+    sizes = lines.groupBy("leaf").agg(F.count("*").alias("n"))
+    large = lines.join(sizes.where(F.col("n") > BLOCK).select("leaf"), "leaf", "left_semi")
+    runs = materialise(large.select("leaf", "line", "tokens").mapInArrow(_runs, "line long, run long"), "runs")
+    links = runs.join(runs.groupBy("run").agg(F.min("line").alias("least")), "run").select(F.col("line").alias("a"), F.col("least").alias("b"))
+    groups = components(links).select(F.col("node").alias("line"), F.col("component").alias("of"))
+    small = lines.join(sizes.where(F.col("n") <= BLOCK).select("leaf"), "leaf", "left_semi").withColumn("block", F.lit(0).cast("long"))
+    apart = large.join(groups, "line", "left").select(*lines.columns, F.coalesce("of", "line").alias("block"))
+    told = _parse(small.unionByName(apart), ["leaf", "block"])
+    return told.select("line", F.xxhash64("leaf", _hash("template")).alias("template")).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

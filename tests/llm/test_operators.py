@@ -135,6 +135,26 @@ def test_recurring_templates_go_but_for_the_first(spark):
     assert not any(t is None for t in found.values())
 
 
+def test_a_large_leaf_is_parsed_as_one_block(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{''.join(rng.choices('abcdefghij', k=4))}" for _ in range(3000)]
+    lines = [f"the report for {' '.join(rng.choices(words, k=9))}" for _ in range(6000)]
+    lines += [f"the report for {n} was filed by the office clerk on monday" for n in ("ann", "bob", "carol", "dan", "eve")]
+    lines += [f"the report for {rng.choice('xyz')} {' '.join(rng.choices('pqr', k=8))}" for _ in range(1500)]
+    split = {linedup.key(t): t for t in map(linedup.tokens, lines)}
+    rows = [(linedup.leaf(t), h, t) for h, t in sorted(split.items())]
+    told, _ = linedup.templates([t for _, _, t in rows])
+    whole, found = {}, {}
+    for (_, h, _), k in zip(rows, told):
+        whole.setdefault(k, set()).add(h)
+    df = spark.createDataFrame(rows, "leaf long, line long, tokens array<string>")
+    for r in linedup.parse_tree(df).collect():
+        found.setdefault(r.template, set()).add(r.line)
+    assert len(rows) > linedup.BLOCK
+    assert any({linedup.key(linedup.tokens(x)) for x in lines[6000:6005]} <= s for s in found.values())
+    assert all(any(s <= f for f in found.values()) for s in whole.values())
+
+
 def test_lines_of_a_template_agree(spark):
     lines = ["There is a big dog", "There is a big cat"] + [f"There is a {x} {y}" for x, y in zip("red old new wet dry hot".split(), "car hat cup fox pen jar".split())]
     told, made = linedup.templates([x.split() for x in lines])
