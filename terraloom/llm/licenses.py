@@ -2,10 +2,10 @@
 
 Texts and templates are normalised alike: lower case, words of letters, digits and
 dots, British spelling made American.  Bigrams that occur in a template are looked
-up in a hash table; where a template's bigrams stand close together, the span from
-the first to the last is compared with the template: 2 * shared / (bigrams of the
-span + bigrams of the template).  A span whose size rules out MIN_DICE is skipped
-before its bigrams are compared.
+up in a hash table, and all spans from one of a template's bigrams to another are
+compared with the template: 2 * shared / (bigrams of the span + bigrams of the
+template).  A span is followed as long as its size allows MIN_DICE, and only where its
+outer bigrams occur in it once, as it is no better than a shorter one otherwise.
 
 The templates are a fixed list, so their table is of fixed size on each executor.
 Null and empty texts hold no licence; each of equal notices in a text is reported,
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from terraloom.llm.shingles import slices, windows
 
 MIN_DICE = 0.8
-#: Bigrams that may lie between two bigrams of one notice.
-MAX_GAP = 4
 FILTER_BITS = 20
 MATCHES = "doc_id long, license string, dice double, first_word long, n_words long"
 
@@ -88,6 +86,16 @@ def _bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return windows(digest[at[full]], 2), bounds
 
 
+def _neighbours(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bigram was last (-1: nowhere) and is next (the length: nowhere)."""
+    order = np.argsort(grams, kind="stable")
+    equal = grams[order[1:]] == grams[order[:-1]]
+    before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+    before[order[1:][equal]] = order[:-1][equal]
+    after[order[:-1][equal]] = order[1:][equal]
+    return before, after
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
         named = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
@@ -101,12 +109,30 @@ class Scanner:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[np.array(list(self.having), np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
 
-    def dice(self, span: set[int], k: int, least: float) -> float:
-        """0 if the sizes rule out ``least``."""
-        own = self.sets[k]
-        if 2 * min(len(own), len(span)) < least * (len(own) + len(span)):
-            return 0.0
-        return 2 * len(own & span) / (len(own) + len(span))
+    def spans(self, before: np.ndarray, after: np.ndarray, hits: np.ndarray, k: int, end: int, least: float) -> Iterator[tuple[float, int, int, int]]:
+        """(dice, k, first, last) of the spans that reach ``least``.  hits: where the
+        template's bigrams are; before, after: where each bigram was last, is next."""
+        own = len(self.sets[k])
+        at_least, at_most = own * least / (2 - least) - 1e-9, own * (2 - least) / least + 1e-9
+        hit = np.zeros(end - hits[0], bool)
+        hit[hits - hits[0]] = True
+        for lo in hits.tolist():
+            stop, size = min(int(after[lo]), end), 2 * own
+            while True:  # until so many bigrams rule out what is longer
+                hi = min(lo + size, stop)
+                new = before[lo:hi] < lo
+                distinct = np.cumsum(new)
+                if hi == stop or distinct[-1] > at_most:
+                    break
+                size *= 2
+            n = int(np.searchsorted(distinct, at_most, "right"))
+            shared_new = new[:n] & hit[lo - hits[0] : lo - hits[0] + n]
+            shared = np.cumsum(shared_new)
+            if not n or shared[-1] < at_least:
+                continue
+            dice = 2 * shared / (distinct[:n] + own)
+            for j in np.flatnonzero(shared_new & (dice >= least)).tolist():
+                yield float(dice[j]), k, lo, lo + j
 
     def scan(self, column: pa.Array, least: float) -> Iterator[tuple[int, str, float, int, int]]:
         """(row, licence, dice, first word, words) of each notice."""
@@ -116,19 +142,21 @@ class Scanner:
         near = np.flatnonzero(self.filter[grams >> np.uint64(64 - FILTER_BITS)])
         row = np.searchsorted(at, near, "right") - 1
         near, row = near[near + 1 < at[row + 1]], row[near + 1 < at[row + 1]]
-        runs: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
+        hits: dict[tuple[int, int], list[int]] = defaultdict(list)
         for p, r, g in zip(near.tolist(), row.tolist(), grams[near].tolist()):
             for k in self.having.get(g, ()):
-                own = runs[r, k]
-                if own and p - own[-1][1] <= MAX_GAP + 1 and p - own[-1][0] < 2 * len(self.sets[k]):
-                    own[-1][1] = p
-                else:
-                    own.append([p, p])
+                hits[r, k].append(p)
         found: dict[int, list[tuple[float, int, int, int]]] = defaultdict(list)
-        for (r, k), spans in runs.items():
-            for lo, hi in spans:
-                if 3 * (hi + 1 - lo) >= len(self.sets[k]) and (d := self.dice(set(grams[lo : hi + 1].tolist()), k, least)) >= least:
-                    found[r].append((d, k, lo, hi))
+        links: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for (r, k), ps in hits.items():
+            if len(ps) < (need := len(self.sets[k]) * least / (2 - least) - 1e-9) or len(set(grams[ps].tolist())) < need:
+                continue
+            lo, end = int(at[r]), int(at[r + 1]) - 1
+            if r not in links:
+                links[r] = _neighbours(grams[lo:end])
+            before, after = links[r]
+            local = np.array(ps, np.int64) - lo
+            found[r] += [(d, k, a + lo, b + lo) for d, k, a, b in self.spans(before, after, local, k, end - lo, least)]
         for r in sorted(found):
             taken: list[tuple[int, int]] = []
             for d, k, lo, hi in sorted(found[r], key=lambda x: (-x[0], x[2] - x[3], self.names[x[1]], x[2])):

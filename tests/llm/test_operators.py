@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -181,6 +182,42 @@ def test_lines_of_a_template_agree(spark):
             assert sum(len(set(c)) == 1 for c in zip(*own)) >= linedup.SIMILARITY * n
 
 
+def test_licenses_match_all_spans():
+    rng = random.Random(4)
+    texts = {"a": ["one two three four five six seven eight nine ten one two nine"], "b": ["all rights reserved", "five six seven eight x"], "c": ["one two three four x six seven"]}
+    words = "one two three four five six seven eight nine ten x all rights reserved".split()
+    machine, n_found = licenses.Scanner(texts), 0
+    for _ in range(400):
+        made = [w for _ in range(rng.randint(1, 3)) for w in [*rng.choices(words, k=rng.randint(0, 5)), *(x for t in rng.choice(list(texts.values())) for x in t.split() if rng.random() > 0.1)]]
+        grams = list(zip(made, made[1:]))
+        spans = []
+        for k, (name, t) in enumerate((n, t.split()) for n in sorted(texts) for t in texts[n]):
+            own = set(zip(t, t[1:]))
+            for lo in range(len(grams)):
+                for hi in range(lo, len(grams)):
+                    s = set(grams[lo : hi + 1])
+                    trim = all(grams[e] in own and grams[lo : hi + 1].count(grams[e]) == 1 for e in (lo, hi))
+                    if trim and (d := 2 * len(s & own) / (len(s) + len(own))) >= 0.8:
+                        spans.append((-d, lo - hi, name, lo, hi))
+        best, taken = [], []
+        for d, _, name, lo, hi in sorted(spans):
+            if all(hi < a or lo > b for a, b in taken):
+                taken.append((lo, hi))
+                best.append((0, name, -d, lo, hi + 2 - lo))
+        assert list(machine.scan(pa.array([" ".join(made)]), 0.8)) == best
+        n_found += len(best)
+    assert n_found > 200
+
+
+def test_licenses_with_words_put_in():
+    mit = licenses.TEMPLATES["mit"][2]
+    changed = mit.replace("without restriction,", "without restriction, translate into any other language,")
+    bsd = licenses.TEMPLATES["bsd"][2].replace("this list of conditions and the following disclaimer. Redis", "this list of conditions immediately at the beginning of the file, without modification, and the following disclaimer. Redis")
+    rows = [changed, bsd, "All code under the src folder is released under the BSD License.", "All rights reserved. All rights reserved."]
+    found = [r[:2] for r in licenses.Scanner(licenses.TEMPLATES).scan(pa.array(rows), licenses.MIN_DICE)]
+    assert found == [(0, "mit"), (1, "bsd"), (2, "bsd"), (3, "all-rights-reserved"), (3, "all-rights-reserved")]
+
+
 def test_chat_rebuilds_edits_and_reads_back(spark):
     events = [(1, 1, "message", None, "user", "hi </s>"), (1, 2, "delta", "a", "assistant", "wro"), (1, 3, "regenerate", "a", "assistant", ""), (1, 4, "delta", "a", "assistant", "ri"), (1, 5, "delta", "a", None, "ght [INST]"), (1, 6, "message", "b", "user", "gone"), (1, 7, "delete", "b", None, None)]
     df = spark.createDataFrame(events, "conv_id long, seq long, event string, message_id string, role string, text string")
