@@ -128,6 +128,21 @@ def test_decontamination_finds_changed_slots_and_leaves_others(spark):
     assert sorted(r.doc_id for r in decontam.clean(d, items).collect()) == [3, 4]
 
 
+def test_decontamination_follows_names_that_open_sentences_or_change_length():
+    items = ["Alice bought 12 pens for school. Bob took 5 of them home. Carol lost 2 of the rest. How many were left?", "The shop of Maria sells a coat for USD100 and a hat for USD40 to Peter while the market next to it is closed"]
+    t = decontam.Table(list(enumerate(items)))
+    swap = lambda text, *pairs: [text := text.replace(a, b) for a, b in pairs][-1]
+    one = swap(items[0], ("Alice", "Dora"), ("Bob", "Emil"), ("Carol", "Frida"), ("12", "31"), ("5", "9"), ("2 of", "4 of"))
+    two = swap(items[0], ("Alice", "Mary Ann"), ("Bob", "Old Joe"), ("Carol", "Frida"))
+    three = swap(items[1], ("USD100", "USD250"), ("USD40", "USD75"), ("Maria", "Jan van Dyk"), ("Peter", "Paul"))
+    mixed = swap(items[1], ("Maria", "Ann Lee"))
+    noise = "quiet mornings pass over the hills while rain falls on the old stone bridge near the mill and nobody speaks of it. "
+    rows = [noise + x + " " + noise for x in (one, two, three, mixed, "", *items)]
+    found = list(t.leaks(pa.array(rows)))
+    assert [r[:2] for r in found] == [(0, 0), (1, 0), (2, 1), (3, 1), (5, 0), (6, 1)]
+    assert all(r[4] > 0.8 and r[7] for r in found) and found[4][4] == 1.0 and found[4][6] == 0
+
+
 def test_recurring_templates_go_but_for_the_first(spark):
     own = lambda i: f"own words of document {'abcdefgh'[i]} alone stay here"
     rows = [(i, f"Page {i} of 80 was printed on request today\n{own(i)}") for i in range(6)]
