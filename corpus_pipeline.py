@@ -7,8 +7,8 @@ but the last return the columns of documents.
 1. quality rules: documents that a rule rejects go.
 2. line dedup: lines of recurring templates go, and n_chars follows the text; so do
    documents of which all words went that way.
-3. n-gram Jaccard join: of each group of linked documents (five words, 0.8) the one
-   of least id stays.  Documents that link with nothing stay, without text too.
+3. n-gram Jaccard join: of each group of linked documents (five words, 0.8) one row
+   of least id stays, also if ids repeat; one without an id only if none has one.  Documents that link with nothing stay, without text too.
 4. benchmark decontamination: documents that leak a benchmark item go.
 5. packing: what is left, as pieces of sequences.
 """
@@ -35,9 +35,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join(docs, size=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    # ids may repeat or be null, so rows have keys of their own, written once as they aren't stable
+    keyed = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "row_keys")
+    groups = jaccard.join(keyed, id_col="row_key", size=5, percent=80).select(F.col("doc_id").alias("row_key"), "component_id")
+    rows = keyed.select("row_key", "doc_id").join(groups, "row_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    return keyed.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from terraloom.llm import bitpack, chat, decontam, jaccard, langid, licenses, linedup, packing, quality, registry, wordpiece
 
 SF = "/root/testdata/sf0.001"
@@ -233,6 +234,14 @@ def test_licenses_with_words_put_in():
     assert found == [(0, "mit"), (1, "bsd"), (2, "bsd"), (3, "all-rights-reserved"), (3, "all-rights-reserved")]
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, a), (None, a), (2, a), (2, b), (None, "x y z u v w"), (None, "x y z u v w"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.jaccard_join(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter([(1, a), (2, b), (None, "x y z u v w"), (3, None), (4, "")])
+
+
 def test_chat_rebuilds_edits_and_reads_back(spark):
     events = [(1, 1, "message", None, "user", "hi </s>"), (1, 2, "delta", "a", "assistant", "wro"), (1, 3, "regenerate", "a", "assistant", ""), (1, 4, "delta", "a", "assistant", "ri"), (1, 5, "delta", "a", None, "ght [INST]"), (1, 6, "message", "b", "user", "gone"), (1, 7, "delete", "b", None, None)]
     df = spark.createDataFrame(events, "conv_id long, seq long, event string, message_id string, role string, text string")
