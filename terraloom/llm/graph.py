@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.shared import ensure_checkpoint_dir
+from terraloom.llm.shared import delete, materialise, new_path
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its component's smallest node) for each node of ``links`` (a, b).
 
     Large-star and small-star rounds (each node's neighbours are moved to the
-    smallest one) until nothing moves; each round is checkpointed.  A node's links
+    smallest one) until nothing moves; each round is written and the one before goes.  A node's links
     meet as a minimum that is combined before the shuffle, and a join that adaptive
     execution may split, so a node with very many links holds nothing up.
     """
-    ensure_checkpoint_dir(links.sparkSession)
+    spark, before = links.sparkSession, []
 
     def state(df: DataFrame) -> tuple[DataFrame, tuple]:
-        df = df.distinct().checkpoint()
+        before.append(new_path(spark, "star"))
+        df = materialise(df.distinct(), "star", before[-1])
+        if len(before) > 1:
+            delete(spark, before.pop(0))
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def star(edges: DataFrame, large: bool) -> DataFrame:

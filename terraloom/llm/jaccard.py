@@ -1,25 +1,32 @@
 """Exact Jaccard self-join of word-shingle sets, by what is known of other sets.
 
-1. Documents with equal sets are one class; classes are what is joined.
+1. Documents with equal sets are one class.  A class's set is made once, from the
+   text of its document of least id, and written; all that follows reads it.
 2. Index lists hold, for each shingle of a set's prefix, the sets that have it.
    Prefixes follow one global order, rare shingles first; two sets that link share
-   a shingle of both prefixes.
+   a shingle of both prefixes.  How rare a shingle is comes from a sketch of fixed
+   size, counts by hash of all classes' shingles.
 3. Each list names a pivot, its smallest class, and each set's overlap with its
-   pivots is computed once.  So the sets of a group of near copies become one
-   component through as many comparisons as there are sets.
+   pivots is computed once.  While lists hold more pairs of different components than
+   PAIRS_A_ROW for each of their entries, further rounds choose more pivots.  So the
+   sets of a group of near copies become one component through a few times as many
+   comparisons as there are sets.
 4. From the answers of the pivot those of the other sets follow: sets of one
-   component need no comparison, and |x & y| <= |x & p| + |y - p| rules out others.
+   component need no comparison, and what x and y share is at most
+   min(|x & p|, |y & p|) + min(|x - p|, |y - p|).
 5. Lists are cut into blocks by set size and position; a pair of blocks is skipped
    when sizes, positions or components can't give a new link.  What is left is
    compared set by set.
 
 The links kept join all that link: components are those of all links.
 
-Sets are of 64-bit hashes.  Null text, empty text and text without words have an
-empty set and link with nothing.  Repeated rows are each answered.  A document
-without an id has its class's component; a class of which no document has an id
-isn't compared.  Columns other than the id and the text are ignored.  An empty
-table gives an empty result.
+Sets are of 64-bit hashes: one of a billion different shingles shares its hash with
+another with a probability of 5 in 100, which changes a link only if both texts are at
+the very threshold.  Null text, empty text and text without words have an
+empty set and link with nothing.  Very long texts are read whole, a slice at a time.
+Repeated rows are each answered.  A document without an id has its class's component;
+a class of which no document has an id isn't compared.  Columns other than the id and
+the text are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +41,24 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import shingles
 from terraloom.llm.graph import components
-from terraloom.llm.shared import materialise
-
-#: At most so many frequent shingles (12 bytes each) are known to the global order.
-#: The order decides how many candidates there are, never which links are found.
-FREQUENT = 200_000
-#: Shingles of a task that are counted together; those seen less often are dropped.
-COUNTED, LEAST_COUNT = 2_000_000, 4
-#: Ids of candidates are broadcast up to this number (8 bytes each), else joined by shuffle.
+from terraloom.llm.shared import Scratch, materialise
+
+#: The sketch has 2**SKETCH_BITS counts of one byte; the driver and each worker hold it.
+#: It decides how many candidates there are, never which links are found.
+SKETCH_BITS, CHUNK_BITS = 24, 16
+#: Pivots of each list in the rounds after the first, which go on as long as lists hold
+#: this many pairs of different components for each entry.
+PIVOTS, PAIRS_A_ROW = (4, 16, 64), 2
+#: Rows of ids or classes are broadcast up to this number (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-CLASSES = "doc_id long, class long, n_shingles long"
+#: A component's rows are dealt out by so many salts.
+SALTS = 32
+CLASSES = "doc_id long, text_key long, class long, n_shingles long"
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def _class(s: np.ndarray) -> int:
@@ -51,102 +66,95 @@ def _class(s: np.ndarray) -> int:
 
 
 def class_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
-    """CLASSES of all documents (doc_id, text); the class of an empty set is null."""
+    """CLASSES of all documents (doc_id, text_key, text); the class of an empty set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shingles.slices(batch, "text"):
                 own = [(_class(s) if len(s) else None, len(s)) for s in shingles.sets(part.column("text"), size, lower)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*own))], ["doc_id", "class", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *(pa.array(c, pa.int64()) for c in zip(*own))], ["doc_id", "text_key", "class", "n_shingles"])
 
     return docs.mapInArrow(run, CLASSES)
 
 
-def frequent(docs: DataFrame, size: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FREQUENT shingles (sorted) found in most sets, and their counts."""
+def set_table(docs: DataFrame, first: DataFrame, size: int, lower: bool) -> DataFrame:
+    """class, set (sorted shingles) from the documents that ``first`` (doc_id, text_key,
+    class) names; a row that repeats gives its set again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
-
-        def counted() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= LEAST_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(count[often])], ["shingle", "n"])
-
         for batch in batches:
             for part in shingles.slices(batch, "text"):
-                for s in shingles.sets(part.column("text"), size, lower):
-                    if len(s) and (c := _class(s)) not in seen:
-                        seen.add(c)
-                        held.append(s)
-                        n += len(s)
-                    if n >= COUNTED:
-                        yield counted()
-                        held, n, seen = [], 0, set()
-        if held:
-            yield counted()
-
-    rows = docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    value = top.column("shingle").to_numpy().astype(np.uint64)
-    order = np.argsort(value)
-    return value[order], top.column("n").to_numpy()[order].astype(np.int32)
-
-
-def postings(docs: DataFrame, size: int, lower: bool, percent: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """shingle, class, n (set size), pos (from 0) for each shingle of each prefix."""
-    known = docs.sparkSession.sparkContext.broadcast(often)
+                own = list(shingles.sets(part.column("text"), size, lower))
+                flat = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+                ends = np.cumsum([0, *map(len, own)])
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["class", "set"])
 
-    def prefix(s: np.ndarray, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-        length = len(s) - -(-percent * len(s) // 100) + 1
-        if not len(value):
-            return s[:length]
-        at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-        rank = np.where(value[at] == s, count[at], 0)
-        return s[np.argsort(rank, kind="stable")[:length]]
+    rows = docs.join(small(first), ["doc_id", "text_key"]).select("class", "text")
+    return rows.mapInArrow(run, "class long, set array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, count = known.value
-        seen: set[int] = set()
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch of sets, one after another, and each set's offsets."""
+    column = batch.column("set")
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+
+
+def sketch(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each hash occur, as one byte: exact below 32, then
+    eighths of powers of two."""
+    size, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint32)
         for batch in batches:
-            for part in shingles.slices(batch, "text"):
-                found, who, n = [], [], []
-                for s in shingles.sets(part.column("text"), size, lower):
-                    if len(s) and (c := _class(s)) not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(c)
-                        found.append(prefix(s, value, count))
-                        who.append(c)
-                        n.append(len(s))
-                if found:
-                    sizes = [len(x) for x in found]
-                    pos = np.concatenate([np.arange(x, dtype=np.int32) for x in sizes])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(np.array(who), sizes)), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.array(pos)], ["shingle", "class", "n", "pos"])
-
-    return docs.mapInArrow(run, "shingle long, class long, n int, pos int")
-
-
-def set_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
-    """class, set (array of shingles) of all documents that have any."""
+            np.add.at(own, (_flat(batch)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        for k in range(0, size, chunk):
+            part = own[k : k + chunk]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                total.setdefault(k, np.zeros(chunk, np.uint64))
+                total[k] += np.frombuffer(counts, np.uint32)
+        for k, n in total.items():
+            code = np.where(n < 32, n, 32 + 8 * np.log2(np.maximum(n, 32) / 32)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([code.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    told = sets.mapInArrow(count, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, counts binary").toArrow()  # 2**SKETCH_BITS bytes
+    out = np.zeros(size, np.uint8)
+    for k, counts in zip(told.column("chunk").to_pylist(), told.column("counts").to_pylist()):
+        out[k : k + chunk] = np.frombuffer(counts, np.uint8)
+    return out
+
+
+def postings(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """shingle, class, n (set size), pos (from 0) for each shingle of each prefix."""
+    known = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in shingles.slices(batch, "text"):
-                own = [s.astype(np.int64) for s in shingles.sets(part.column("text"), size, lower) if len(s)]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([_class(s.astype(np.uint64)) for s in own]), pa.array(own, pa.list_(pa.int64()))], ["class", "set"])
+            flat, at = _flat(batch)
+            n = np.diff(at)
+            who = np.repeat(np.arange(len(n)), n)
+            # sets are sorted, so equal ranks stay in the order of hashes
+            order = np.argsort(who * 256 + known.value[flat >> np.uint64(64 - SKETCH_BITS)], kind="stable")
+            pos = np.arange(len(flat)) - at[who]
+            keep = pos < (n - -(-percent * n // 100) + 1)[who]
+            classes = batch.column("class").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order[keep]].view(np.int64)), pa.array(classes[who[keep]]), pa.array(n[who[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["shingle", "class", "n", "pos"])
 
-    return docs.mapInArrow(run, "class long, set array<bigint>")
+    return sets.mapInArrow(run, "shingle long, class long, n int, pos int")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, o (shared shingles), na, nb for pairs of classes (a, b).  Only the sets of
     classes in pairs are dealt out."""
-    pairs = materialise(pairs, "pairs")
-    members = materialise(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "members")
-    few = members.count() <= BROADCAST_ROWS
-    sets = sets.join(F.broadcast(members) if few else members, "class", "left_semi")
+    members = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = sets.join(small(members), "class", "left_semi").dropDuplicates(["class"])
     a = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
@@ -157,6 +165,31 @@ def linked(o, na, nb, percent: int) -> F.Column:
     return 100 * o >= percent * (na + nb - o)
 
 
+def least(x, y, percent: int) -> F.Column:
+    """Overlap that sets of x and y shingles need for a link."""
+    return F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
+
+
+def open_lists(rows: DataFrame) -> DataFrame:
+    """shingle, k (entries) and pairs (of different components) of lists with any."""
+    parts = rows.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    lists = parts.groupBy("shingle").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    return lists.where("own < k * k").select("shingle", "k", ((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs"))
+
+
+def pivot_pairs(rows: DataFrame, lists: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """Pairs (a, b) of each class and its lists' pivots, where they are of different
+    components and their sizes and positions allow a link.  About ``pivots`` classes of
+    each list are pivots, those of least hash; if it is 0, the column pivot names one.
+    rows: shingle, class, n, pos, pivot, component."""
+    rows = rows.join(lists.select("shingle", "k"), "shingle")
+    chosen = F.pmod(F.xxhash64("class", F.lit(pivots)), F.col("k")) < pivots if pivots else F.col("class") == F.col("pivot")
+    p = rows.where(chosen).select("shingle", *(F.col(x).alias(f"p_{x}") for x in ("class", "n", "pos", "component")))
+    c = F.col
+    near = (c("component") != c("p_component")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.least(c("n") - c("pos"), c("p_n") - c("p_pos")) >= least(c("n"), c("p_n"), percent))
+    return rows.join(p, "shingle").where(near).select(F.least("class", "p_class").alias("a"), F.greatest("class", "p_class").alias("b")).distinct()
+
+
 def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a list and that no
     bound rules out.  lists: shingle, class, n, pos, component, lo and hi (bounds of
@@ -164,59 +197,82 @@ def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
     r = percent / 100
     rows = lists.withColumns({"by_size": F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(r)))).cast("int"), "by_pos": F.floor(F.log2(F.col("pos") + F.lit(1.0))).cast("int")})
     blocks = rows.groupBy("shingle", "by_size", "by_pos").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    mixed = blocks.groupBy("shingle").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1").select("shingle")
-    blocks = blocks.join(mixed, "shingle", "left_semi")
 
     def side(df: DataFrame, k: str) -> DataFrame:
         return df.select("shingle", *(F.col(c).alias(f"{k}_{c}") for c in df.columns if c != "shingle"))
 
-    least = lambda x, y: F.ceil((x + y) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))  # noqa: E731  overlap of a link
     c = F.col
+    size_pos = lambda k: F.struct(f"{k}_by_size", f"{k}_by_pos")
     near = side(blocks, "x").join(side(blocks, "y"), "shingle").where(
-        ((c("x_by_size") < c("y_by_size")) | (c("x_by_size") == c("y_by_size")))
+        (size_pos("x") <= size_pos("y"))
         & (100 * c("x_n1") >= percent * c("y_n0"))
-        & (F.least("x_rest", "y_rest") >= least(c("x_n0"), c("y_n0")))
+        & (F.least("x_rest", "y_rest") >= least(c("x_n0"), c("y_n0"), percent))
         & ~((c("x_c0") == c("x_c1")) & (c("y_c0") == c("y_c1")) & (c("x_c0") == c("y_c0")))
     ).select("shingle", "x_by_size", "x_by_pos", "y_by_size", "y_by_pos")
     x, y = side(rows, "x"), side(rows, "y")
-    bound = F.least(c("x_hi") + c("y_n") - c("y_lo"), c("y_hi") + c("x_n") - c("x_lo"), c("x_n") - c("x_pos"), c("y_n") - c("y_pos"))
-    open_ = (c("x_component") != c("y_component")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (bound >= least(c("x_n"), c("y_n")))
-    found = near.join(x, ["shingle", "x_by_size", "x_by_pos"]).join(y, ["shingle", "y_by_size", "y_by_pos"]).where(open_)
+    within = F.least("x_hi", "y_hi") + F.least(c("x_n") - c("x_lo"), c("y_n") - c("y_lo"))
+    bound = F.least(within, c("x_n") - c("x_pos"), c("y_n") - c("y_pos"))
+    open_ = (c("x_component") != c("y_component")) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (bound >= least(c("x_n"), c("y_n"), percent))
+    once = (size_pos("x") < size_pos("y")) | (c("x_class") < c("y_class"))
+    found = near.join(x, ["shingle", "x_by_size", "x_by_pos"]).join(y, ["shingle", "y_by_size", "y_by_pos"]).where(open_ & once)
     return found.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
 
 
+def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node, component of all classes that link.  lists: shingle, class, n, pos, pivot."""
+    known = found = None
+    for pivots in (0, *PIVOTS):
+        if found is None:
+            rows = lists.withColumn("component", F.col("class"))
+        else:
+            own = found.select(F.col("node").alias("class"), "component")
+            rows = scratch.write(lists.join(own, "class", "left").withColumn("component", F.coalesce("component", "class")), "rows")
+        work = scratch.write(open_lists(rows), "open")
+        entries, pairs = work.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if pivots and pairs <= PAIRS_A_ROW * entries:
+            break
+        more = pivot_pairs(rows, work, percent, pivots)
+        if known is not None:
+            more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        told = scratch.write(overlaps(scratch.write(more, "pairs"), sets), "overlaps")
+        known = told if known is None else known.union(told)
+        links = told.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+        found = components(links if found is None else links.union(found.select("node", "component")))
+    else:
+        own = found.select(F.col("node").alias("class"), "component")
+        rows = lists.join(own, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        work = open_lists(rows)
+
+    both = known.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "o").union(known.select("b", "a", "o"))
+    rows = rows.join(both, ["class", "pivot"], "left")
+    self_ = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("o"))
+    rows = rows.select("shingle", "class", "n", "pos", "component", F.coalesce(self_, F.lit(0)).alias("lo"), F.coalesce(self_, F.col("n")).alias("hi"))
+    rows = scratch.write(rows.join(work.select("shingle"), "shingle", "left_semi"), "rows")
+    rest = block_pairs(rows, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    rest = overlaps(scratch.write(rest, "pairs"), sets).where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    rest = scratch.write(rest, "rest")
+    return components(rest.union(found.select("node", "component")))
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of all
     documents; two link when 100 * shared >= percent * all of their shingles."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     classes = materialise(class_table(docs, size, lower), "classes")
-    lists = postings(docs.where("doc_id is not null"), size, lower, percent, frequent(docs, size, lower))
-    pivots = lists.groupBy("shingle").agg(F.min(F.struct("class", "n")).alias("p"), F.max("class").alias("last")).where("p.class <> last").select("shingle", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    lists = materialise(lists.join(pivots, "shingle").dropDuplicates(["shingle", "class"]), "lists")
-
-    wanted = classes.join(lists.select("class").distinct(), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    wanted = materialise(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    sets = set_table(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), size, lower)
-    sets = materialise(sets.dropDuplicates(["class"]), "sets")
-
-    # pairs that their sizes rule out aren't compared: of those only looser bounds are known
-    sized = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    to_pivot = lists.where(F.col("class") != F.col("pivot")).where(sized).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = materialise(overlaps(to_pivot, sets), "overlaps")
-    links = known.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    first = components(links)
-
-    own = first.select(F.col("node").alias("class"), "component")
-    told = known.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "o")
-    rows = lists.join(own, "class", "left").join(told, ["class", "pivot"], "left")
-    self_ = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("o"))
-    rows = rows.select("shingle", "class", "n", "pos", F.coalesce("component", "class").alias("component"), F.coalesce(self_, F.lit(0)).alias("lo"), F.coalesce(self_, F.col("n")).alias("hi"))
-    rest = materialise(overlaps(block_pairs(materialise(rows, "rows"), percent), sets), "rest")
-    more = rest.where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-
-    found = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    named = classes.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with Scratch(spark) as scratch:
+        first = classes.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
+        first = scratch.write(first.select("class", "d.doc_id", "d.text_key"), "first")
+        sets = scratch.write(set_table(docs, first, size, lower), "sets")
+        found = postings(sets, percent, sketch(sets))
+        pivots = found.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
+        lists = scratch.write(found.join(pivots, "shingle").dropDuplicates(["shingle", "class"]), "lists")
+        of = _links(lists, sets, percent, scratch).select(F.col("node").alias("class"), "component")
+
+        named = of.join(first.select("class", "doc_id"), "class")
+        salt = F.array(*map(F.lit, range(SALTS)))
+        least_ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(salt))
+        named = named.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(least_ids, ["component", "salt"]).select("class", "component_id")
+        labels = first.join(named, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"))
+        labels = materialise(labels, "labels")
+    return classes.join(small(labels), "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -42,11 +42,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_base(spark))
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,24 +68,51 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 #: Deletes the shuffle files of a statement when it has ended.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How written tables are stored: zstd's buffers are bounded, and row groups and pages
+#: stay small also where texts are very long.
+WRITER = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "10"}
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and
     a lost executor costs a file read instead of a recomputation.  The shuffles that led
     to it aren't needed any more, and their files go at once."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = new_path(spark, tag)
+    path = path or new_path(spark, tag)
     before = spark.conf.get(FILE_CLEANUP, "false")
     spark.conf.set(FILE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**WRITER).parquet(path)
     finally:
         spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that go when the block that needs them ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            self.drop()
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, tag))
+        return materialise(df, tag, self.paths[-1])
+
+    def drop(self) -> None:
+        """Delete the table written last."""
+        path = self.paths.pop()
+        delete(self.spark, path)
+        _made.remove((self.spark, path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
