@@ -11,7 +11,8 @@ A shard holds the documents of one range of ids, in ascending order::
 All numbers are little-endian.  The offsets let a reader take any span of ids by
 fetching the blocks that it touches; numpy unpacks a block with 2 x 32 shifts.
 
-Null text counts as empty and gets the end id only.  Repeated ids keep all their
+Null text counts as empty and gets the end id only; a very long one is encoded
+whole, and its ids may fill many blocks.  Repeated ids keep all their
 rows, ordered by a hash of the text.  Null ids come first, as -2**63.  An empty
 table gives no shards.  Other columns are ignored.
 """
@@ -36,6 +37,8 @@ from terraloom.llm.shared import materialise, new_path
 MAGIC, VERSION, BLOCK_IDS = b"TLBP", 1, 32_768
 HEAD, FOOT = struct.Struct("<4sBBHI"), struct.Struct("<QQQQ")
 NO_ID = -(2**63)
+#: Widths at which an id is an integer of its own.
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
 
@@ -46,6 +49,10 @@ def bits_for(vocabulary: int) -> int:
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids (below 2**bits) as 32-bit words; the last group of 32 is filled with 0."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} doesn't fit in {bits} bits")
+    if bits in WHOLE:  # the same bytes, as no id lies across two words
+        return np.concatenate([ids.astype(WHOLE[bits]), np.zeros(-len(ids) % 32, WHOLE[bits])]).tobytes()
     rows = np.zeros((-(-len(ids) // 32), 32), np.uint64)
     rows.ravel()[: len(ids)] = ids
     words = np.zeros((len(rows), bits), np.uint64)
@@ -59,6 +66,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits])[:n].astype(np.uint32)
     words = np.frombuffer(data, "<u4").reshape(-1, bits).astype(np.uint64)
     rows, mask = np.empty((len(words), 32), np.uint32), np.uint64((1 << bits) - 1)
     for j in range(32):
@@ -136,14 +145,28 @@ class ShardReader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_shards(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int = 50_257, tokenizer: str | None = None) -> DataFrame:
+def with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids of texts (``ends`` are their offsets), each text followed by ``end_id``."""
+    out = np.empty(len(ids) + len(ends) - 1, np.uint32)
+    last = np.zeros(len(out), bool)
+    last[ends[1:] + np.arange(len(ends) - 1)] = True
+    out[last] = end_id
+    out[~last] = ids
+    return out
+
+
+def write_shards(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """Encode all documents and write them in ascending order of id; returns the
     manifest (MANIFEST), in which shards are numbered in that order.
 
+    Ids are as wide as the tokenizer's vocabulary (or ``vocabulary``) needs; one that
+    doesn't fit is an error.
+
     Each attempt of a task writes a file of its own, and the manifest, which is
     stored beside the shards, names the files of the attempts that counted.
     """
-    root, bits = path or new_path(docs.sparkSession, "shards"), bits_for(vocabulary)
+    root = path or new_path(docs.sparkSession, "shards")
+    bits = bits_for(max(end_id + 1, vocabulary or encoder(tokenizer).size))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, coder, name = None, encoder(tokenizer), ""
@@ -154,7 +177,7 @@ def write_shards(docs: DataFrame, path: str | None = None, *, id_col: str = "doc
                     store.create_dir(folder, recursive=True)
                     name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
                     writer = ShardWriter(store.open_output_stream(f"{folder}/{name}"), bits)
-                writer.add(part.column("id").to_pylist(), np.diff(ends) + 1, np.insert(ids, ends[1:], end_id))
+                writer.add(part.column("id").to_pylist(), np.diff(ends) + 1, with_ends(ids, ends, end_id))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": f"{root}/{name}", "n_docs": len(writer.docs), "n_ids": writer.n}])

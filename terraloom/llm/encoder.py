@@ -49,6 +49,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.library.encode_special_tokens = True
+        self.size = self.library.get_vocab_size()
         self.model, self.letters, self.room = self.library.model, _byte_letters(), room
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
