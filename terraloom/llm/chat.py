@@ -14,8 +14,8 @@ are escaped too.
 
 Null roles and texts are empty.  Equal sequence numbers are ordered by role and text,
 null ones come first, repeated rows are turns of their own, and rows without a
-conversation form one.  An empty table gives an empty result; other columns are
-ignored.
+conversation form one.  Very long texts are read whole, one turn at a time.  An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 _REST = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 ESCAPE, UNESCAPE = rf"([<\[])(\\*){_REST}", re.compile(rf"([<\[])\\(\\*){_REST}")
 TRAINED = "assistant"
+#: Events that set a message's text.
+SETS = ("message", "edit", "regenerate")
+#: Stands for a turn without a number in a log: before all others.
+NO_TURN = -(2**59)
+PARSED = "conv_id long, seq long, turn string, start long, trained string, loss long, chars long"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -40,8 +45,9 @@ def fold(events: DataFrame) -> DataFrame:
     """conv_id, seq, role, text of the final messages.
 
     events: conv_id, seq, event, message_id, role, text.  An event without a message
-    id is a whole message.  Of the others, ``message`` and ``edit`` set a message's
-    text, ``regenerate`` empties it for what follows, ``delta`` appends to it, and
+    id is a whole message, and one without an event is a delta.  Events of one sequence
+    number come in order of name, then of text.  A task holds one message's events.  Of the others, ``message`` and ``edit`` set a message's
+    text, ``regenerate`` sets it to its own, mostly empty, for what follows, ``delta`` appends to it, and
     ``delete`` takes it away until it is set again.  A message stands where its first
     event does and has the first role named.
     """
@@ -50,16 +56,30 @@ def fold(events: DataFrame) -> DataFrame:
     step = F.struct("seq", F.coalesce("event", F.lit("delta")).alias("event"), F.coalesce("text", F.lit("")).alias("text"))
     named = F.when(c("role").isNotNull(), F.struct("seq", "role"))
     parts = events.where("message_id IS NOT NULL").groupBy("conv_id", "message_id").agg(F.min("seq").alias("seq"), F.min(named)["role"].alias("role"), F.sort_array(F.collect_list(step)).alias("steps"))
-    state = F.struct(F.lit("").alias("text"), F.lit(False).alias("gone"))
 
-    def apply(s: Column, e: Column) -> Column:
-        sets = e["event"].isin("message", "edit")
-        text = F.when(sets, e["text"]).when(e["event"] == "regenerate", e["text"]).when(e["event"] == "delta", F.concat(s["text"], e["text"])).otherwise(s["text"])
-        gone = F.when(e["event"] == "delete", True).when(sets | (e["event"] == "regenerate"), False).otherwise(s["gone"])
-        return F.struct(text.alias("text"), gone.alias("gone"))
+    def last(*kinds: str) -> Column:
+        """Place (from 0) of the last event of these kinds; -1 if there is none."""
+        return F.coalesce(F.array_max(F.transform("steps", lambda e, i: F.when(e["event"].isin(*kinds), i))), F.lit(-1))
 
-    folded = parts.withColumn("end", F.aggregate("steps", state, apply)).where(~c("end.gone"))
-    return whole.unionByName(folded.select("conv_id", "seq", "role", c("end.text").alias("text")))
+    # the text is that of the last event that sets it and of the deltas after it, put together once
+    parts = parts.withColumns({"set_at": last(*SETS), "gone_at": last("delete")}).where("gone_at <= set_at OR gone_at < 0")
+    left = F.filter(F.slice("steps", F.greatest(c("set_at") + 1, F.lit(1)), F.size("steps")), lambda e: e["event"].isin(*SETS, "delta"))
+    return whole.unionByName(parts.select("conv_id", "seq", "role", F.array_join(F.transform(left, lambda e: e["text"]), "").alias("text")))
+
+
+def log(turns: DataFrame) -> DataFrame:
+    """An event log of turns (conv_id, turn, role, text), as a chat service keeps one: each
+    message is opened, streamed, edited, and regenerated from two deltas.  ``fold`` gives
+    the turns again."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    steps = [("message", F.col("role"), F.lit("")), ("delta", None, F.substring(text, F.lit(1), half)), ("edit", None, F.lit("a draft")), ("delta", None, F.lit(" that goes on")), ("regenerate", None, F.lit("")), ("delta", None, F.substring(text, F.lit(1), half)), ("delta", None, F.substring(text, half + 1, F.length(text)))]
+    null = F.lit(None).cast("string")
+    array = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(e).alias("event"), (null if r is None else r).alias("role"), t.alias("text")) for i, (e, r, t) in enumerate(steps)))
+    numbered = turns.withColumn("message_id", F.monotonically_increasing_id().cast("string"))
+    rows = numbered.select("conv_id", "turn", "message_id", F.explode(array).alias("e"))
+    seq = F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)) * len(steps) + F.col("e.step")
+    return rows.select("conv_id", seq.alias("seq"), "e.event", "message_id", "e.role", "e.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -86,8 +106,26 @@ def parse(formatted: str) -> tuple[str, str]:
     return role, unescape(text)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each rendered turn: role and text as they are hashed, where the text starts
+    (bytes), what is trained (null if it is the text), and sizes."""
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    for batch in batches:
+        rows = []
+        for formatted, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss_from", "loss_to"))):
+            role, text = parse(formatted)
+            trained = unescape(formatted[lo:hi])
+            rows.append((f"{role}\n{text}\n", len(role.encode()) + 1, None if trained == text else trained, len(trained), len(formatted)))
+        turn, start, trained, loss, chars = zip(*rows) if rows else [()] * 5
+        columns = [pa.array(turn, pa.string()), pa.array(start, pa.int64()), pa.array(trained, pa.string()), pa.array(loss, pa.int64()), pa.array(chars, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("seq"), *columns], names)
+
+
 def read_back(rendered: DataFrame) -> DataFrame:
-    """DIGESTS of each conversation, from the rendered turns alone."""
+    """DIGESTS of each conversation, from the rendered turns alone.
+
+    Turns are parsed where they are; only the hashing runs through a conversation in
+    order, as it must."""
     names = [x.split()[0] for x in DIGESTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,17 +136,16 @@ def read_back(rendered: DataFrame) -> DataFrame:
                 done.append((state["id"], state["n"], state["turns"].hexdigest(), state["loss"], state["text"].hexdigest(), state["chars"]))
 
         for batch in batches:
-            for conv, formatted, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_from", "loss_to"))):
+            for conv, turn, start, trained, loss, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "start", "trained", "loss", "chars"))):
                 if state is None or state["id"] != conv:
                     close()
                     state = {"id": conv, "n": 0, "loss": 0, "chars": 0, "turns": hashlib.sha256(), "text": hashlib.sha256()}
-                role, text = parse(formatted)
-                state["turns"].update(f"{role}\n{text}\n".encode())
-                trained = unescape(formatted[lo:hi])
-                state["text"].update(trained.encode())
-                state["loss"] += len(trained)
+                data = turn.encode()
+                state["turns"].update(data)
+                state["text"].update(memoryview(data)[start:-1] if trained is None else trained.encode())
+                state["loss"] += loss
                 state["n"] += 1
-                state["chars"] += len(formatted)
+                state["chars"] += chars
             if len(done) > 4096:
                 ids, *rest = zip(*done)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, rest)], names)
@@ -118,6 +155,5 @@ def read_back(rendered: DataFrame) -> DataFrame:
             ids, *rest = zip(*done)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, rest)], names)
 
-    # the heads sort as the roles do within one sequence number, and then the texts
-    ordered = rendered.withColumn("conv_id", F.col("conv_id").cast("long")).repartition("conv_id").sortWithinPartitions("conv_id", "seq", "formatted")
-    return ordered.select("conv_id", "formatted", "loss_from", "loss_to").mapInArrow(run, DIGESTS)
+    turns = rendered.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("seq").cast("long").alias("seq"), "formatted", "loss_from", "loss_to").mapInArrow(_parsed, PARSED)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "turn").drop("seq").mapInArrow(run, DIGESTS)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terraloom.llm import bitpack, chat, decontam, jaccard, langid, licenses, linedup, oracles, packing, quality, wordpiece
 from terraloom.llm.shared import table
@@ -45,8 +44,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.lit(None).cast("string").alias("message_id"), "role", "text")
-    return chat.read_back(chat.render(chat.fold(events)))
+    return chat.read_back(chat.render(chat.fold(chat.log(rows))))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

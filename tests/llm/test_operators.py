@@ -294,3 +294,63 @@ def test_queries_keep_their_documents(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op7_line_dedup", "op9_token_counts"):
         assert registry.QUERIES[name](spark, SF).count() == n
+
+
+def replay(events):
+    """Final messages by running through the log."""
+    made = {}
+    for conv, seq, event, message, role, text in sorted((e for e in events if e[3] is not None), key=lambda e: (e[1], e[2] or "delta", e[5] or "")):
+        m = made.setdefault((conv, message), {"seq": seq, "role": None, "text": "", "gone": False})
+        m["role"] = m["role"] if m["role"] is not None else role
+        if event in ("message", "edit", "regenerate"):
+            m["text"], m["gone"] = text or "", False
+        elif event == "delete":
+            m["gone"] = True
+        else:
+            m["text"] += text or ""
+    found = [(conv, m["seq"], m["role"], m["text"]) for (conv, _), m in made.items() if not m["gone"]]
+    return Counter(found + [(e[0], e[1], e[4], e[5]) for e in events if e[3] is None])
+
+
+EVENTS = "conv_id long, seq long, event string, message_id string, role string, text string"
+
+
+def test_chat_fold_matches_a_replay(spark):
+    rng = random.Random(6)
+    kinds = ["message", "delta", "delta", "delta", None, "edit", "regenerate", "delete"]
+    events = [(rng.choice([1, 2, None]), seq // 2, rng.choice(kinds), rng.choice(["a", "b", "c", None]), rng.choice(["user", "assistant", None]) if seq % 2 else None, rng.choice(["x", "yy", "</s>", "", None])) for seq in range(120)]
+    events += events[:5]
+    found = chat.fold(spark.createDataFrame(events, EVENTS)).collect()
+    roles = lambda c: Counter((conv, seq, text or "") for (conv, seq, _, text), n in c.items() for _ in range(n))  # noqa: E731  roles of one sequence number tie
+    assert roles(Counter((r.conv_id, r.seq, r.role, r.text) for r in found)) == roles(replay(events))
+    assert chat.read_back(chat.render(chat.fold(spark.createDataFrame([], EVENTS)))).collect() == []
+
+
+def test_chat_log_folds_to_its_turns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a" * 9999), (1, 1, "assistant", "a" * 9999), (1, None, None, None), (None, 3, "as\n\\s", "<|im_end|>"), (2, -4, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.fold(chat.log(df)).select("conv_id", "role", "text").collect()
+    assert Counter(map(tuple, found)) == Counter((c, r, t or "") for c, _, r, t in rows)
+    told = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(chat.log(df)))).collect()}
+    assert told[None].turns_sha256 == hashlib.sha256(b"as\n\\s\n<|im_end|>\n").hexdigest()
+    assert told[1].n_turns == 4 and told[1].loss_sha256 == hashlib.sha256(b"a" * 19998).hexdigest()
+
+
+@pytest.mark.parametrize("bits", range(1, 33))
+def test_every_width_packs_and_unpacks(bits, monkeypatch):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
+    data = bitpack.pack_bits(ids, bits)
+    assert len(data) == 4 * bits * 32 and (bitpack.unpack_bits(data, bits, 1000) == ids).all()
+    monkeypatch.setattr(bitpack, "WHOLE", {})
+    assert bitpack.pack_bits(ids, bits) == data
+    if bits < 32:
+        with pytest.raises(ValueError):
+            bitpack.pack_bits(np.array([1 << bits], np.uint32), bits)
+
+
+def test_a_shard_gives_any_document(docs, ids):
+    for row in bitpack.write_shards(docs, vocabulary=70_000).collect():
+        shard = bitpack.ShardReader(row.path)
+        assert shard.bits == 17
+        for i in range(0, len(shard.docs), 7):
+            assert shard.document(i).tolist() == [*ids[int(shard.docs[i])], 0]
