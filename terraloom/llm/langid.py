@@ -6,12 +6,16 @@ over a word give the expected number of times that each piece occurs in it, over
 ways to cut the word.  A text's likelihood in a language is the product of those of
 its words, each the forward algorithm's sum over all segmentations.
 
-Words are runs of letters in lower case, opened by the vocabulary's word mark.  A
-character that no piece covers counts as a piece of probability UNSEEN.  Distinct
-words are scored together, one array operation for each position and piece length.
+Words are runs of letters, and of marks after letters, in lower case, opened by the
+vocabulary's word mark.  A character that no piece covers counts as a piece of
+probability UNSEEN.  Distinct words are scored together, one array operation for each
+position and piece length; a run of any length, as in scripts without spaces, is read
+whole, a part of it at a time.
 
 Learning takes whole texts of about SAMPLE_DOCS documents of each language, those of
-which a hash of the id is low enough; the model is languages x pieces.  ``score`` is the winning
+which a hash of the id is low enough, and of those words up to LEARN_WORD letters; the
+model is languages x pieces, for at most MAX_LANGS languages, those with most documents.
+``score`` is the winning
 language's share of the likelihoods, each raised to the power 1 / sqrt(letters), as
 letters of a text are far from independent.
 
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,14 @@ from terraloom.llm.shingles import slices
 
 VOCABULARY, MARK = "piece_bpe_32k.model", "▁"
 SAMPLE_DOCS, ROUNDS, SMOOTHING, UNSEEN = 2000, 3, 0.1, 1e-7
-MAX_PIECE, MAX_WORD = 12, 40
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bounds of what is learnt: letters of a word, and languages.
+LEARN_WORD, MAX_LANGS = 200, 500
+#: Positions of words that are scored together, and of a long run at a time.
+ROOM, LONG = 160_000, 64
+#: All that isn't a digit, mark or sign counts as a letter, which is right for texts
+#: without the characters of ``ODD``; the others are read by ``LETTERS``.
+PLAIN, ODD = re.compile(r"[^\W\d_]+"), regex.compile(r"[\p{M}\p{Nl}\p{No}]")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 NAMES = "doc_id long, held_out boolean, lang_pred string, score double"
 UND = "und"
 
@@ -50,7 +61,8 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= MAX_PIECE and p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha())})
+    letters = regex.compile(rf"{MARK}?[\p{{L}}\p{{M}}]*")
+    return sorted({p for p in pieces if p and p == p.lower() and letters.fullmatch(p)})
 
 
 class Lattice:
@@ -73,10 +85,17 @@ class Lattice:
     def ends(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths, and ids [word, end, length - 1] with -1 for no piece; the first
         position of each word is the mark."""
-        size = np.array([len(w) + 1 for w in words])
+        return self._ends([MARK + w for w in words])
+
+    def ends_of(self, text: str) -> np.ndarray:
+        """ids [end, length - 1] of one text as it is."""
+        return self._ends([text])[1][0]
+
+    def _ends(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words])
         width = int(size.max())
         chars = np.zeros((len(words), width), np.uint64)
-        joined = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le"), "<u4")
+        joined = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         chars[np.repeat(np.arange(len(words)), size), np.arange(len(joined)) - np.repeat(np.cumsum(size) - size, size)] = joined + 1
         ids = np.full((len(words), width, self.longest), -1, np.int32)
         prime = np.uint64(0x100000001B3)
@@ -140,11 +159,37 @@ def expected(size: np.ndarray, ids: np.ndarray, p: np.ndarray, count: np.ndarray
 
 
 def word_list(text: str | None) -> list[str]:
-    """Words of a text; one of more than MAX_WORD letters is cut into pieces of that size."""
-    found = LETTERS.findall((text or "").lower())
-    if found and len(max(found, key=len)) > MAX_WORD:
-        return [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
-    return found
+    """Words of a text."""
+    low = (text or "").lower()
+    return PLAIN.findall(low) if low.isascii() or not ODD.search(low) else LETTERS.findall(low)
+
+
+def together(sizes: list[int]) -> Iterator[slice]:
+    """Slices of words in order of size, each of about ROOM positions in all."""
+    lo = 0
+    for hi in range(1, len(sizes) + 1):
+        if hi == len(sizes) or (hi + 1 - lo) * (sizes[hi] + 1) > ROOM:
+            yield slice(lo, hi)
+            lo = hi
+
+
+def whole_run(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
+    """What ``forward`` gives for one word, in memory that doesn't grow with it."""
+    longest, padded = lattice.longest, np.vstack([p, np.zeros((1, p.shape[1]))])
+    recent = [np.zeros(p.shape[1])]  # of the last positions, the newest last
+    text = MARK + word
+    for lo in range(0, len(text), ROOM // 8):
+        # the part's pieces may start in what came before it
+        head = text[max(0, lo - longest + 1) : lo]
+        ids = lattice.ends_of(head + text[lo : lo + ROOM // 8])[len(head) :]
+        for own in ids:
+            top = recent[-1]
+            k = min(len(recent), longest)
+            before = np.array(recent[: -k - 1 : -1])
+            ways = padded[own[:k]]
+            ways[0] = np.maximum(ways[0], UNSEEN)
+            recent = [*recent[-longest + 1 :], top + np.log((ways * np.exp(before - top)).sum(axis=0))] if longest > 1 else [top + np.log(ways[0])]
+    return recent[-1]
 
 
 class Scorer:
@@ -156,11 +201,14 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word in each language."""
         out = np.zeros((len(words), self.p.shape[1]))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
+        order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG), key=lambda i: len(words[i]))
+        for at in together([len(words[i]) for i in order]):
+            part = order[at]
             size, ids = self.lattice.ends([words[i] for i in part])
             out[part] = forward(size, ids, self.p)[1]
+        for i in range(len(words)):
+            if len(words[i]) > LONG:
+                out[i] = whole_run(self.lattice, words[i], self.p)
         return out
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +244,7 @@ def learn(docs: DataFrame, *, tokenizer: str | None = None) -> tuple[list[str],
     """Languages, pieces and probabilities (pieces x languages) from (doc_id, text, lang)."""
     spark = docs.sparkSession
     taught = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rates = taught.groupBy("lang").agg((F.lit(SAMPLE_DOCS * 2.0**31) / F.count("*")).alias("rate"))  # a row for each language
+    rates = taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang", (F.lit(SAMPLE_DOCS * 2.0**31) / F.col("n")).alias("rate"))
     sample = taught.join(F.broadcast(rates), "lang").where(F.xxhash64("doc_id").bitwiseAND(F.lit(2**31 - 1)) < F.col("rate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +252,7 @@ def learn(docs: DataFrame, *, tokenizer: str | None = None) -> tuple[list[str],
             for part in slices(batch, "text"):
                 found: dict[str, Counter] = {}
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                    found.setdefault(lang, Counter()).update(word_list(text))
+                    found.setdefault(lang, Counter()).update(w for w in word_list(text) if len(w) <= LEARN_WORD)
                 rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["lang", "word", "n"])
@@ -222,11 +270,11 @@ def learn(docs: DataFrame, *, tokenizer: str | None = None) -> tuple[list[str],
             lattice, total = Lattice(own), np.zeros((len(own), len(names)))
             for batch in batches:
                 rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))), key=lambda r: (r[0], len(r[1]), r[1]))
-                for lo in range(0, len(rows), 4096):
-                    for k in {names.index(r[0]) for r in rows[lo : lo + 4096]}:
-                        part = [r for r in rows[lo : lo + 4096] if r[0] == names[k]]
-                        size, ids = lattice.ends([r[1] for r in part])
-                        total[:, k] += expected(size, ids, prob[:, k], np.array([r[2] for r in part], float))
+                for k, name in enumerate(names):
+                    mine = [r for r in rows if r[0] == name]
+                    for at in together([len(r[1]) for r in mine]):
+                        size, ids = lattice.ends([r[1] for r in mine[at]])
+                        total[:, k] += expected(size, ids, prob[:, k], np.array([r[2] for r in mine[at]], float))
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 
