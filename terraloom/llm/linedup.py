@@ -6,7 +6,8 @@ leaf, lines are matched to templates: a line joins the most similar template tha
 agrees with it in SIMILARITY of its tokens, and tokens that differ become gaps.  A gap
 agrees with nothing, so all lines of a template agree in SIMILARITY of their tokens.
 A template found in MIN_DOCS documents or more is recurring: its lines are dropped
-everywhere but in the document of least id that has it, so no text is lost for good.
+everywhere but in the document of least id that has it; what differs between them, in
+up to 1 - SIMILARITY of their tokens, goes with the lines.
 
 Lines are counted before they are compared: only leaves with lines of MIN_DOCS
 documents are parsed, each distinct line once.  A leaf of more than BLOCK lines is
@@ -15,9 +16,10 @@ place in common, and are linked by it.  Groups don't touch one another's templat
 what is found is that of the leaf parsed whole; a group comes to one task whole.
 
 Lines of fewer than MIN_TOKENS tokens are never dropped.  Null text stays null and
-has no lines.  Rows with one id count as one document, null ids together too; only
-for a line that is alone in its leaf each row counts, as soon as two ids have it.  An
-empty table gives an empty result; all columns of the input are kept.
+has no lines.  Rows with one id count as one document, null ids together too, and all
+rows with the id that keeps a line keep it.  A very long line is one line, compared
+whole.  An empty table gives an empty result.  The input's columns are kept, but for
+those with a name of ``KEYS`` or of the three counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ GAP = -1
 DIGIT = re.compile(r"\d")
 NO_ID = -(2**63)
 #: Columns of our own; the input's columns of these names are left out.
-KEYS = ("_tl_id", "_tl_line", "_tl_leaf", "_tl_drop")
+KEYS = ("_tl_id", "_tl_row", "_tl_line", "_tl_leaf", "_tl_drop")
 
 
 def tokens(line: str) -> list[str]:
@@ -154,12 +156,12 @@ def parse_tree(lines: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with _tl_id, and for the lines of each text, in order, _tl_line and
+    """The documents with _tl_id, _tl_row (a number of its own), and for the lines of each text, in order, _tl_line and
     _tl_leaf.  A line that is too short has neither; a repeated one has no leaf.
 
     This is the only pass that hashes lines; what comes later reads what it wrote."""
     fields = [f for f in docs.schema.fields if f.name not in KEYS]
-    rows = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_tl_id"))
+    rows = docs.select(*(F.col(f"`{f.name}`") for f in fields), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_tl_id"), F.monotonically_increasing_id().alias("_tl_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,19 +198,20 @@ def recurring(docs: DataFrame, text_col: str, min_docs: int) -> DataFrame:
     counted = materialise(counted, "lines")
     open_ = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("n") >= min_docs)
     # a leaf with one line is its own template; others are parsed
-    lone = counted.join(open_.where("lines = 1").select("leaf"), "leaf", "left_semi").where(F.col("first") < F.col("last")).select("line", "n", "first")
+    lone = counted.join(open_.where("lines = 1").select("leaf"), "leaf", "left_semi").where(F.col("first") < F.col("last")).select("leaf", "line", F.col("line").alias("template"))
     mixed = materialise(open_.where("lines > 1").select("leaf"), "leaves")
     mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
     # a line's words come from the first document that has it, so each is read once
     wanted = counted.join(mixed, "leaf", "left_semi").select("line", F.col("first").alias("doc_id"))
     spelt = docs.select(F.col("_tl_id").alias("doc_id"), F.explode(F.arrays_zip("_tl_leaf", "_tl_line", F.split(F.col(f"`{text_col}`"), "\n").alias("text"))).alias("k")).select("doc_id", F.col("k._tl_leaf").alias("leaf"), F.col("k._tl_line").alias("line"), F.col("k.text").alias("text")).where("leaf IS NOT NULL")
     texts = spelt.join(mixed, "leaf", "left_semi").join(wanted, ["line", "doc_id"], "left_semi").select("leaf", "line", "text").mapInArrow(_tokenised, "leaf long, line long, tokens array<string>").dropDuplicates(["line"])
-    told = materialise(parse_tree(texts), "tree")
+    told = parse_tree(texts).select("line", "template")
+    told = materialise(told.union(lone.select("line", "template")), "tree")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
     # documents of a template: each one counts once, however many of its lines it has
-    of_docs = found.join(mixed, "leaf", "left_semi").join(told, "line").select("template", "doc_id").distinct()
+    of_docs = found.join(told, "line").select("template", "doc_id").distinct()
     wide = of_docs.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    several = told.join(wide, "template").select("line", "first")
-    return lone.where(F.col("n") >= min_docs).select("line", "first").union(several)
+    return told.join(wide, "template").select("line", "first")
 
 
 def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, drop_emptied: bool = False) -> DataFrame:
@@ -221,7 +224,7 @@ def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     names = [f.name for f in out_columns]
     docs = keyed(docs, id_col, text_col)
     drops = materialise(recurring(docs, text_col, min_docs), "drops")
-    rows = docs.select(*(F.col(f"`{n}`") for n in names), "_tl_id", "_tl_line")
+    rows = docs.select(*(F.col(f"`{n}`") for n in names), "_tl_id", "_tl_row", "_tl_line")
     if drops.count() <= BROADCAST_ROWS:
         table = drops.toArrow()
         line = table.column("line").to_numpy()
@@ -229,9 +232,9 @@ def drop_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         known = spark.sparkContext.broadcast((line[order], table.column("first").to_numpy()[order]))
     else:
         known = None
-        mine = docs.select("_tl_id", F.explode("_tl_line").alias("line")).where("line IS NOT NULL")
-        per_doc = mine.join(drops, "line").where("_tl_id <> first").groupBy("_tl_id").agg(F.collect_set("line").alias("_tl_drop"))  # of one document's lines
-        rows = rows.join(per_doc, "_tl_id", "left")
+        mine = docs.select("_tl_id", "_tl_row", F.explode("_tl_line").alias("line")).where("line IS NOT NULL")
+        per_doc = mine.join(drops, "line").where("_tl_id <> first").groupBy("_tl_row").agg(F.collect_set("line").alias("_tl_drop"))  # of one document's lines
+        rows = rows.join(per_doc, "_tl_row", "left")
 
     def lost_lines(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Which lines of a batch go, and where each document's lines start and end."""

@@ -354,3 +354,58 @@ def test_a_shard_gives_any_document(docs, ids):
         assert shard.bits == 17
         for i in range(0, len(shard.docs), 7):
             assert shard.document(i).tolist() == [*ids[int(shard.docs[i])], 0]
+
+
+def test_lines_count_documents_not_rows(spark, monkeypatch):
+    line = "this very line is found in few documents"
+    rows = lambda more: [(1, line)] * 4 + [(2, line), *more]
+    schema = "doc_id long, text string, n_lines string, _tl_row string"
+    for more in ([], [(3, "this very line is found in many documents")]):
+        df = spark.createDataFrame([(*r, None, None) for r in rows(more)], schema)
+        assert Counter(r.text for r in linedup.drop_lines(df).collect()) == Counter(t for _, t in rows(more))
+    rows = [(i, line) for i in (None, 1, 2, 3, 4, 4)] + [(9, None)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    want = Counter({(None, line): 1, (1, ""): 1, (2, ""): 1, (3, ""): 1, (4, ""): 2, (9, None): 1})
+    found = linedup.drop_lines(df)
+    assert found.columns == ["doc_id", "text", "n_lines", "n_dropped_lines", "n_dropped_words"]
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == want
+    monkeypatch.setattr(linedup, "BROADCAST_ROWS", 0)
+    assert Counter((r.doc_id, r.text) for r in linedup.drop_lines(df).collect()) == want
+
+
+def test_language_id_sums_all_segmentations():
+    pieces = [langid.MARK, *(langid.MARK + x for x in ("a", "ab", "b")), "a", "b", "ab", "ba", "aba"]
+    p = np.random.default_rng(3).random((len(pieces), 2))
+    p /= p.sum(axis=0)
+    lattice = langid.Lattice(pieces)
+    words = ["".join(random.Random(i).choices("abé", k=i % 9 + 1)) for i in range(60)]
+
+    def ways(text):
+        if not text:
+            return np.ones(2)
+        total = np.zeros(2)
+        for n in range(1, len(text) + 1):
+            piece = text[:n]
+            own = p[pieces.index(piece)] if piece in pieces else np.full(2, langid.UNSEEN) if n == 1 else None
+            if own is not None:
+                total += (np.maximum(own, langid.UNSEEN) if n == 1 else own) * ways(text[n:])
+        return total
+
+    size, ids = lattice.ends(words)
+    for w, row in zip(words, langid.forward(size, ids, p)[1]):
+        assert np.allclose(row, np.log(ways(langid.MARK + w)))
+        assert np.allclose(langid.whole_run(lattice, w, p), row)
+
+
+def test_letters_and_marks():
+    assert langid.word_list("½ ② Ⅷ 12 _") == [] == langid.word_list(None)
+    assert langid.word_list("Café x² नमस्ते éa") == ["café", "x", "नमस्ते", "éa"]
+
+
+def test_language_id_of_odd_rows_with_a_model(spark, docs):
+    taught = docs.select("doc_id", "text", "lang").limit(200)
+    rows = [(-1, None), (-2, ""), (-3, "½ 12 --"), (None, "the house is old"), (-4, "ж" * 3000)]
+    odd_rows = spark.createDataFrame([(i, t, None) for i, t in rows], taught.schema)
+    found = {r.doc_id: r for r in langid.predict(taught.union(odd_rows)).where("doc_id < 0 OR doc_id IS NULL").collect()}
+    assert [found[i].lang_pred for i in (-1, -2, -3)] == ["und"] * 3 and [found[i].score for i in (-1, -2, -3)] == [0.0] * 3
+    assert found[None].lang_pred != "und" and found[-4].lang_pred != "und"
