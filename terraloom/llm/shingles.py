@@ -27,13 +27,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of all words of all texts, and each text's offsets."""
     texts = pc.fill_null(column.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     pieces = pc.ascii_split_whitespace(texts)
     flat, bounds = pieces.flatten(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
     coded = flat.dictionary_encode()
     words = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    # lowered here, as Arrow's ascii_lower misreads slices of a cast column
+    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.lower, words) if lower else words), np.uint64, len(words))
     at = coded.indices.to_numpy(zero_copy_only=False)
     hashes = digest[at]
     if b"" in words:  # white space at a text's ends
