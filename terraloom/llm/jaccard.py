@@ -1,14 +1,16 @@
 """Exact Jaccard self-join of word-shingle sets, by what is known of other sets.
 
-1. Documents with equal sets are one class.  A class's set is made once, from the
-   text of its document of least id, and written; all that follows reads it.
+1. Documents with equal sets are one class; classes are what is joined.
 2. Index lists hold, for each shingle of a set's prefix, the sets that have it.
    Prefixes follow one global order, rare shingles first; two sets that link share
    a shingle of both prefixes.  How rare a shingle is comes from a sketch of fixed
-   size, counts by hash of all classes' shingles.
+   size, counts by hash of all sets, against its mean.  A shingle that only one
+   set's prefix has is dropped as soon as lists are dealt out; those of the sketch's
+   highest counts are dealt out by class too, so no task gets a whole hot list.
 3. Each list names a pivot, its smallest class, and each set's overlap with its
    pivots is computed once.  While lists hold more pairs of different components than
-   PAIRS_A_ROW for each of their entries, further rounds choose more pivots.  So the
+   PAIRS_A_ROW for each of their entries, further rounds choose more pivots, and of the
+   lists that hold a set one.  So the
    sets of a group of near copies become one component through a few times as many
    comparisons as there are sets.
 4. From the answers of the pivot those of the other sets follow: sets of one
@@ -43,9 +45,13 @@ from terraloom.llm import shingles
 from terraloom.llm.graph import components
 from terraloom.llm.shared import Scratch, materialise
 
-#: The sketch has 2**SKETCH_BITS counts of one byte; the driver and each worker hold it.
+#: The sketch has 2**SKETCH_BITS counts of half a byte; the driver and each worker hold it.
 #: It decides how many candidates there are, never which links are found.
-SKETCH_BITS, CHUNK_BITS = 24, 16
+SKETCH_BITS, CHUNK_BITS = 26, 20
+#: The highest code of a count, and the salts that lists of such shingles are dealt out by.
+HOT, HOT_SALTS = 15, 64
+#: Classes whose shingles a task counts once, at most.
+SEEN = 200_000
 #: Pivots of each list in the rounds after the first, which go on as long as lists hold
 #: this many pairs of different components for each entry.
 PIVOTS, PAIRS_A_ROW = (4, 16, 64), 2
@@ -53,7 +59,8 @@ PIVOTS, PAIRS_A_ROW = (4, 16, 64), 2
 BROADCAST_ROWS = 1_000_000
 #: A component's rows are dealt out by so many salts.
 SALTS = 32
-CLASSES = "doc_id long, text_key long, class long, n_shingles long"
+CLASSES = "doc_id long, text_key long, class long, n_shingles long, chunk long, counts binary"
+POSTINGS = "shingle long, class long, n int, pos int"
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -65,89 +72,125 @@ def _class(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def _bucket(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def class_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
-    """CLASSES of all documents (doc_id, text_key, text); the class of an empty set is null."""
+    """CLASSES of all documents (doc_id, text_key, text); the class of an empty set is
+    null.  After its documents each task gives, as rows with a chunk, how often it has
+    seen the shingles of each bucket, up to 255 times."""
+    names = [x.split()[0] for x in CLASSES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << SKETCH_BITS, np.uint8), set()
         for batch in batches:
             for part in shingles.slices(batch, "text"):
-                own = [(_class(s) if len(s) else None, len(s)) for s in shingles.sets(part.column("text"), size, lower)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *(pa.array(c, pa.int64()) for c in zip(*own))], ["doc_id", "text_key", "class", "n_shingles"])
+                own, new = [], []
+                for s in shingles.sets(part.column("text"), size, lower):
+                    c = _class(s) if len(s) else None
+                    own.append((c, len(s)))
+                    if c is not None and c not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(c)
+                        new.append(s)
+                if new:
+                    at, n = np.unique(_bucket(np.concatenate(new)), return_counts=True)
+                    counts[at] = np.minimum(counts[at] + n, 255)
+                classes, sizes = zip(*own)
+                nulls = [pa.nulls(len(own), t) for t in (pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *nulls], names)
+        zstd = pa.Codec("zstd", compression_level=1)
+        for k in range(0, len(counts), 1 << CHUNK_BITS):
+            if (chunk := counts[k : k + (1 << CHUNK_BITS)]).any():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k]), pa.array([zstd.compress(chunk.tobytes(), asbytes=True)], pa.binary())], names)
 
     return docs.mapInArrow(run, CLASSES)
 
 
-def set_table(docs: DataFrame, first: DataFrame, size: int, lower: bool) -> DataFrame:
-    """class, set (sorted shingles) from the documents that ``first`` (doc_id, text_key,
-    class) names; a row that repeats gives its set again."""
+def sketch(chunks: DataFrame, mean: float) -> np.ndarray:
+    """Codes of all buckets' counts, two in a byte: twice the logarithm (base 2) of the
+    count's ratio to the mean, or to 1 if the mean is less."""
+    size = 1 << CHUNK_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, total = pa.Codec("zstd"), {}
         for batch in batches:
-            for part in shingles.slices(batch, "text"):
-                own = list(shingles.sets(part.column("text"), size, lower))
-                flat = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
-                ends = np.cumsum([0, *map(len, own)])
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["class", "set"])
+            for k, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                own = total.setdefault(k, np.zeros(size, np.uint32))
+                own += np.frombuffer(zstd.decompress(counts.as_buffer(), size), np.uint8)
+        for k, n in total.items():
+            code = np.clip(np.ceil(2 * np.log2(np.maximum(n, 1) / max(1.0, mean))), 0, HOT).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(code[::2] | code[1::2] << 4).tobytes()], pa.binary())], ["chunk", "counts"])
 
-    rows = docs.join(small(first), ["doc_id", "text_key"]).select("class", "text")
-    return rows.mapInArrow(run, "class long, set array<bigint>")
+    told = chunks.repartition("chunk").mapInArrow(add, "chunk long, counts binary").toArrow()  # half a byte for each bucket
+    out = np.zeros(1 << (SKETCH_BITS - 1), np.uint8)
+    for k, codes in zip(told.column("chunk").to_pylist(), told.column("counts").to_pylist()):
+        out[k // 2 : (k + size) // 2] = np.frombuffer(codes, np.uint8)
+    return out
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of a batch of sets, one after another, and each set's offsets."""
-    column = batch.column("set")
-    offsets = column.offsets.to_numpy()
-    return column.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+def _code(codes: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    at = _bucket(shingle)
+    return codes[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & np.uint8(15)
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each hash occur, as one byte: exact below 32, then
-    eighths of powers of two."""
-    size, chunk = 1 << SKETCH_BITS, 1 << CHUNK_BITS
+def index_lists(docs: DataFrame, percent: int, codes: np.ndarray, size: int, lower: bool) -> DataFrame:
+    """POSTINGS, of documents (class, text): for each shingle of each set's prefix, the
+    set's class and size and the shingle's place; only of shingles that several have."""
+    known = docs.sparkSession.sparkContext.broadcast(codes)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size, np.uint32)
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            np.add.at(own, (_flat(batch)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        for k in range(0, size, chunk):
-            part = own[k : k + chunk]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+            for part in shingles.slices(batch, "text"):
+                own = list(shingles.sets(part.column("text"), size, lower))
+                flat, n = np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+                who = np.repeat(np.arange(len(n)), n)
+                code = _code(known.value, flat)
+                # sets are sorted, so shingles of one code stay in the order of hashes
+                order = np.argsort(who * 16 + code, kind="stable")
+                pos = np.arange(len(flat)) - (np.cumsum(n) - n)[who]
+                keep = pos < (n - -(-percent * n // 100) + 1)[who]
+                at, who, pos = order[keep], who[keep], pos[keep]
+                classes = part.column("class").to_numpy()[who]
+                salt = np.where(code[at] == HOT, classes % HOT_SALTS, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(classes), pa.array(n[who].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(salt.astype(np.int32))], ["shingle", "class", "n", "pos", "salt"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows whose shingle comes with another class too; those with a salt all.
+        ``held`` is the last row so far, if its shingle has come once only."""
+        held, last, last_class = None, None, None
         for batch in batches:
-            for k, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total.setdefault(k, np.zeros(chunk, np.uint64))
-                total[k] += np.frombuffer(counts, np.uint32)
-        for k, n in total.items():
-            code = np.where(n < 32, n, 32 + 8 * np.log2(np.maximum(n, 32) / 32)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([code.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    told = sets.mapInArrow(count, "chunk long, counts binary").repartition("chunk").mapInArrow(add, "chunk long, counts binary").toArrow()  # 2**SKETCH_BITS bytes
-    out = np.zeros(size, np.uint8)
-    for k, counts in zip(told.column("chunk").to_pylist(), told.column("counts").to_pylist()):
-        out[k : k + chunk] = np.frombuffer(counts, np.uint8)
-    return out
-
-
-def postings(sets: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
-    """shingle, class, n (set size), pos (from 0) for each shingle of each prefix."""
-    known = sets.sparkSession.sparkContext.broadcast(counts)
+            key, who = batch.column("shingle").to_numpy(), batch.column("class").to_numpy()
+            again = np.concatenate([[last is not None and key[0] == last and who[0] == last_class], (key[1:] == key[:-1]) & (who[1:] == who[:-1])]) if len(key) else np.zeros(0, bool)
+            batch = batch.filter(pa.array(~again)) if again.any() else batch
+            key = batch.column("shingle").to_numpy()
+            if not len(key):
+                continue
+            if held is not None and key[0] == last:
+                yield held
+            before = np.concatenate([[last is not None and key[0] == last], key[1:] == key[:-1]])
+            keep = before | np.append(before[1:], False) | (batch.column("salt").to_numpy() >= 0)
+            held = None if keep[-1] else batch.slice(len(key) - 1, 1).drop_columns(["salt"])
+            last, last_class = key[-1], batch.column("class")[-1].as_py()
+            yield batch.filter(pa.array(keep)).drop_columns(["salt"])
+
+    rows = docs.mapInArrow(post, f"{POSTINGS}, salt int")
+    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "class").mapInArrow(shared, POSTINGS)
+
+
+def set_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
+    """class, set (sorted shingles) of documents (class, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = _flat(batch)
-            n = np.diff(at)
-            who = np.repeat(np.arange(len(n)), n)
-            # sets are sorted, so equal ranks stay in the order of hashes
-            order = np.argsort(who * 256 + known.value[flat >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-            pos = np.arange(len(flat)) - at[who]
-            keep = pos < (n - -(-percent * n // 100) + 1)[who]
-            classes = batch.column("class").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order[keep]].view(np.int64)), pa.array(classes[who[keep]]), pa.array(n[who[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["shingle", "class", "n", "pos"])
+            for part in shingles.slices(batch, "text"):
+                own = list(shingles.sets(part.column("text"), size, lower))
+                ends = np.cumsum([0, *map(len, own)])
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own).astype(np.int64)))], ["class", "set"])
 
-    return sets.mapInArrow(run, "shingle long, class long, n int, pos int")
+    return docs.mapInArrow(run, "class long, set array<bigint>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,12 +220,20 @@ def open_lists(rows: DataFrame) -> DataFrame:
     return lists.where("own < k * k").select("shingle", "k", ((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs"))
 
 
-def pivot_pairs(rows: DataFrame, lists: DataFrame, percent: int, pivots: int) -> DataFrame:
+def one_list_each(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each class's rows the one whose shingle has the least hash of that turn: sets
+    that share many lists mostly meet in that one."""
+    first = rows.groupBy("class").agg(F.min(F.struct(F.xxhash64("shingle", F.lit(turn)).alias("key"), "shingle")).alias("l"))
+    return rows.join(first.select("class", F.col("l.shingle").alias("shingle")), ["class", "shingle"])
+
+
+def pivot_pairs(rows: DataFrame, percent: int, pivots: int) -> DataFrame:
     """Pairs (a, b) of each class and its lists' pivots, where they are of different
-    components and their sizes and positions allow a link.  About ``pivots`` classes of
-    each list are pivots, those of least hash; if it is 0, the column pivot names one.
-    rows: shingle, class, n, pos, pivot, component."""
-    rows = rows.join(lists.select("shingle", "k"), "shingle")
+    components and their sizes and positions allow a link.  Without a number of pivots
+    the column pivot names that of a list; else about so many classes of each list are
+    pivots, those of least hash.  rows: shingle, class, n, pos, pivot, component."""
+    if pivots:
+        rows = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("k")), "shingle")
     chosen = F.pmod(F.xxhash64("class", F.lit(pivots)), F.col("k")) < pivots if pivots else F.col("class") == F.col("pivot")
     p = rows.where(chosen).select("shingle", *(F.col(x).alias(f"p_{x}") for x in ("class", "n", "pos", "component")))
     c = F.col
@@ -231,7 +282,8 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         entries, pairs = work.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if pivots and pairs <= PAIRS_A_ROW * entries:
             break
-        more = pivot_pairs(rows, work, percent, pivots)
+        rows = rows.join(work.select("shingle"), "shingle", "left_semi")
+        more = pivot_pairs(scratch.write(one_list_each(rows, pivots), "first_lists") if pivots else rows, percent, pivots)
         if known is not None:
             more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
         told = scratch.write(overlaps(scratch.write(more, "pairs"), sets), "overlaps")
@@ -259,14 +311,21 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     documents; two link when 100 * shared >= percent * all of their shingles."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    classes = materialise(class_table(docs, size, lower), "classes")
+    table = materialise(class_table(docs, size, lower), "classes")
+    classes = table.where("chunk IS NULL").drop("chunk", "counts")
     with Scratch(spark) as scratch:
         first = classes.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
         first = scratch.write(first.select("class", "d.doc_id", "d.text_key"), "first")
-        sets = scratch.write(set_table(docs, first, size, lower), "sets")
-        found = postings(sets, percent, sketch(sets))
-        pivots = found.groupBy("shingle").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot <> last").select("shingle", "pivot")
-        lists = scratch.write(found.join(pivots, "shingle").dropDuplicates(["shingle", "class"]), "lists")
+        n = classes.where("class IS NOT NULL").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        codes = sketch(table.where("chunk IS NOT NULL").select("chunk", "counts"), n / 2**SKETCH_BITS)
+
+        def texts(of: DataFrame) -> DataFrame:  # class and text of the documents that stand for classes
+            return docs.join(small(of), ["doc_id", "text_key"]).select("class", "text")
+
+        lists = scratch.write(index_lists(texts(first), percent, codes, size, lower), "postings")
+        lists = scratch.write(lists.join(lists.groupBy("shingle").agg(F.min("class").alias("pivot")), "shingle"), "lists")
+        members = scratch.write(first.join(lists.select("class").distinct(), "class", "left_semi"), "members")
+        sets = scratch.write(set_table(texts(members), size, lower), "sets")
         of = _links(lists, sets, percent, scratch).select(F.col("node").alias("class"), "component")
 
         named = of.join(first.select("class", "doc_id"), "class")

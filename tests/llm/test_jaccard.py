@@ -1,7 +1,10 @@
 import random
 import re
 
-from terraloom.llm import jaccard
+import numpy as np
+import pyarrow as pa
+
+from terraloom.llm import jaccard, shingles
 
 SCHEMA = "doc_id long, text string"
 
@@ -60,3 +63,29 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     rows = [(5, text, 1), (5, text, 2), (None, text, 3), (2, text + " y", 4)]
     found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string, component long")).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in found) == [(-1, 2), (2, 2), (5, 2), (5, 2)]
+
+
+def test_sets_of_slices_are_those_of_copies():
+    texts = [None if i % 50 == 0 else "É" * (i % 5) + " Abc dÉ \n" * (i % 9) for i in range(3000)]
+    whole = pa.array(texts)
+    for at in (1, 7, 300, 1024, 2500):
+        told, want = (list(shingles.sets(c, 4, True)) for c in (whole.slice(at, 400), pa.array(texts[at : at + 400])))
+        assert all(np.array_equal(x, y) for x, y in zip(told, want, strict=True))
+
+
+def test_lists_hold_shingles_of_several_classes_across_batches(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(14)], k=40))) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "class long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, hot in ((3, 15), (1000, 15), (7, 0)):
+            monkeypatch.setattr(jaccard, "HOT", hot)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found = jaccard.index_lists(df, 1, np.zeros(1 << (jaccard.SKETCH_BITS - 1), np.uint8), 2, True).collect()
+            told = {(r.shingle, r["class"]) for r in found}
+            every = {(int(x.astype(np.int64)), i) for i, t in rows for x in next(shingles.sets(pa.array([t]), 2, True))}
+            several = {(s, i) for s, i in every if len({j for z, j in every if z == s}) > 1}
+            assert len(found) >= len(told) and several <= told <= every and (hot == 0 or told == several and len(found) == len(told))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
