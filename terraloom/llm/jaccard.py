@@ -9,8 +9,8 @@
    highest counts are dealt out by class too, so no task gets a whole hot list.
 3. Each list names a pivot, its smallest class, and each set's overlap with its
    pivots is computed once.  While lists hold more pairs of different components than
-   PAIRS_A_ROW for each of their entries, further rounds choose more pivots, and of the
-   lists that hold a set one.  So the
+   PAIRS_A_ROW for each of their entries, further rounds choose more pivots, each
+   in one of LIST_SHARE lists.  So the
    sets of a group of near copies become one component through a few times as many
    comparisons as there are sets.
 4. From the answers of the pivot those of the other sets follow: sets of one
@@ -55,6 +55,8 @@ SEEN = 200_000
 #: Pivots of each list in the rounds after the first, which go on as long as lists hold
 #: this many pairs of different components for each entry.
 PIVOTS, PAIRS_A_ROW = (4, 16, 64), 2
+#: Each of these rounds looks at one in so many lists, as sets that link share many.
+LIST_SHARE = 4
 #: Rows of ids or classes are broadcast up to this number (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A component's rows are dealt out by so many salts.
@@ -220,13 +222,6 @@ def open_lists(rows: DataFrame) -> DataFrame:
     return lists.where("own < k * k").select("shingle", "k", ((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs"))
 
 
-def one_list_each(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each class's rows the one whose shingle has the least hash of that turn: sets
-    that share many lists mostly meet in that one."""
-    first = rows.groupBy("class").agg(F.min(F.struct(F.xxhash64("shingle", F.lit(turn)).alias("key"), "shingle")).alias("l"))
-    return rows.join(first.select("class", F.col("l.shingle").alias("shingle")), ["class", "shingle"])
-
-
 def pivot_pairs(rows: DataFrame, percent: int, pivots: int) -> DataFrame:
     """Pairs (a, b) of each class and its lists' pivots, where they are of different
     components and their sizes and positions allow a link.  Without a number of pivots
@@ -271,19 +266,18 @@ def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """node, component of all classes that link.  lists: shingle, class, n, pos, pivot."""
-    known = found = None
+    known, found = None, None
+    rows = lists.withColumn("component", F.col("class"))
     for pivots in (0, *PIVOTS):
-        if found is None:
-            rows = lists.withColumn("component", F.col("class"))
-        else:
+        if pivots:  # lists whose sets are of one component stay closed
             own = found.select(F.col("node").alias("class"), "component")
-            rows = scratch.write(lists.join(own, "class", "left").withColumn("component", F.coalesce("component", "class")), "rows")
-        work = scratch.write(open_lists(rows), "open")
-        entries, pairs = work.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-        if pivots and pairs <= PAIRS_A_ROW * entries:
-            break
-        rows = rows.join(work.select("shingle"), "shingle", "left_semi")
-        more = pivot_pairs(scratch.write(one_list_each(rows, pivots), "first_lists") if pivots else rows, percent, pivots)
+            rows = rows.drop("component").join(small(own), "class", "left").withColumn("component", F.coalesce("component", "class"))
+            work = scratch.write(open_lists(rows), "open")
+            rows = scratch.write(rows.join(small(work.select("shingle")), "shingle", "left_semi"), "rows")
+            entries, pairs = work.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+            if pairs <= PAIRS_A_ROW * entries:
+                break
+        more = pivot_pairs(rows.where(F.pmod(F.xxhash64("shingle", F.lit(pivots)), F.lit(LIST_SHARE)) == 0) if pivots else rows, percent, pivots)
         if known is not None:
             more = more.join(known.select("a", "b"), ["a", "b"], "left_anti")
         told = scratch.write(overlaps(scratch.write(more, "pairs"), sets), "overlaps")
@@ -292,14 +286,13 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         found = components(links if found is None else links.union(found.select("node", "component")))
     else:
         own = found.select(F.col("node").alias("class"), "component")
-        rows = lists.join(own, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        work = open_lists(rows)
+        rows = rows.drop("component").join(small(own), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        rows = scratch.write(rows.join(small(open_lists(rows).select("shingle")), "shingle", "left_semi"), "rows")
 
     both = known.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "o").union(known.select("b", "a", "o"))
     rows = rows.join(both, ["class", "pivot"], "left")
     self_ = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("o"))
     rows = rows.select("shingle", "class", "n", "pos", "component", F.coalesce(self_, F.lit(0)).alias("lo"), F.coalesce(self_, F.col("n")).alias("hi"))
-    rows = scratch.write(rows.join(work.select("shingle"), "shingle", "left_semi"), "rows")
     rest = block_pairs(rows, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = overlaps(scratch.write(rest, "pairs"), sets).where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     rest = scratch.write(rest, "rest")
