@@ -39,7 +39,7 @@ def flat_hit(df: DataFrame, height: str, east: str = "east", north: str = "north
     """Adds where the ray meets the plane ``height`` below the camera; null if it doesn't:
     a ray along the plane (within 1e-9) or one that meets it behind."""
     far = F.when(F.abs(c("ray_u")) >= 1e-9, -c(height) / c("ray_u"))
-    steps = [{"_far": far}, {"_far": F.when(c("_far") >= 0, c("_far"))}, {east: c("_far") * c("ray_e"), north: c("_far") * c("ray_n")}]
+    steps = [{"_any": far}, {"_far": F.when(c("_any") >= 0, c("_any"))}, {east: c("_far") * c("ray_e"), north: c("_far") * c("ray_n")}]
     return staged(df, steps, [east, north])
 
 

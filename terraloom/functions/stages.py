@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame
 
 
 def staged(df: DataFrame, steps: Sequence[dict[str, Column]], keep: Sequence[str]) -> DataFrame:
-    """Add each step's columns in turn; of all added ones only ``keep`` stay."""
-    added = {name for step in steps for name in step} - set(keep)
+    """Add each step's columns in turn; of all added ones only ``keep`` stay.
+
+    All steps are one select, in which columns refer to those named before them, so the
+    plan is analysed once; only where a name is given twice each step is one of its own."""
+    names = [name for step in steps for name in step]
+    added = set(names) - set(keep)
+    if len(set(names)) == len(names) and not set(names) & set(df.columns):
+        return df.select("*", *(e.alias(name) for step in steps for name, e in step.items())).drop(*added)
     for step in steps:
         df = df.withColumns(step)
     return df.drop(*added)

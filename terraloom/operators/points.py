@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from terraloom.functions.geodesy import latlon_to_enu
 
 c = F.col
+#: Fixed value: what a point that misses the ground counts as, in both errors.
+MISS_DEGREES = 100.0
 
 
 def pixel_grid(cameras: DataFrame, width: int, height: int, step: int) -> DataFrame:

@@ -25,6 +25,7 @@ def grid_max_clipped(points: DataFrame, x0: float, y0: float, cell: float, cols:
 
 def above_grid(poses: DataFrame, cells: DataFrame, x0: float, y1: float, cell: float) -> DataFrame:
     """The poses (x, y, alt) with row, col, z of their cell and ``above``; null where the
-    grid has no cell."""
-    at = poses.withColumns({"row": F.floor((y1 - c("y")) / cell), "col": F.floor((c("x") - x0) / cell)})
+    grid has no cell.  Rows and columns are cut towards zero, so a pose less than a cell
+    to the left of the grid or above it counts for the cell at its edge."""
+    at = poses.withColumns({"row": ((y1 - c("y")) / cell).cast("bigint"), "col": ((c("x") - x0) / cell).cast("bigint")})
     return at.join(cells, ["row", "col"], "left").withColumn("above", c("alt") - c("z"))

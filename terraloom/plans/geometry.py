@@ -26,8 +26,8 @@ def flat_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cameras = camera.prepare_cameras(points.pixel_grid(view(spark, sf_dir, "camera"), WIDTH, HEIGHT, 100))
-    hits = camera.pixels_to_ground(cameras, *K, on_miss="drop")
+    cameras = camera.prepare_cameras(view(spark, sf_dir, "camera"))
+    hits = camera.pixels_to_ground(points.pixel_grid(cameras, WIDTH, HEIGHT, 100), *K, on_miss="drop")
     return hits.select("cam_id", c("u").cast("bigint").alias("pixel_x"), c("v").cast("bigint").alias("pixel_y"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
@@ -58,10 +58,11 @@ def gcp_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gcp_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
     cameras = camera.prepare_cameras(view(spark, sf_dir, "camera"))
     known = view(spark, sf_dir, "gcp").withColumnsRenamed({"lat": "known_lat", "lon": "known_lon", "pixel_u": "u", "pixel_v": "v"})
-    hit = camera.pixels_to_ground(known.join(cameras, "cam_id"), *K, on_miss="drop")
-    sq = (c("lat") - c("known_lat")) * (c("lat") - c("known_lat")) + (c("lon") - c("known_lon")) * (c("lon") - c("known_lon"))
-    rms = F.sqrt(F.avg(sq) / 2)
-    return hit.groupBy("cam_id").agg(F.count("*").alias("n"), F.round(rms, 7).alias("rms_deg"), F.round(rms * 111320 * F.cos(F.radians(F.first("cam_lat"))), 2).alias("rms_m"))
+    hit = camera.pixels_to_ground(known.join(cameras, "cam_id"), *K).select("cam_id", "cam_lat", (c("lat") - c("known_lat")).alias("a"), (c("lon") - c("known_lon")).alias("b"))
+    off = lambda x: F.coalesce(c(x), F.lit(points.MISS_DEGREES))
+    told = hit.groupBy("cam_id").agg(F.count("a").alias("hits"), F.count("*").alias("n"), F.sum(F.pow(off("a"), 2.0)).alias("a2"), F.sum(F.pow(off("b"), 2.0)).alias("b2"), F.first("cam_lat").alias("cam_lat"))
+    rms = F.sqrt((c("a2") + c("b2")) / c("n") / 2)
+    return told.select("cam_id", "hits", (c("n") - c("hits")).alias("misses"), F.round(rms, 7).alias("rms_deg"), F.round(rms * 111320 * F.cos(F.radians("cam_lat")), 2).alias("rms_m"))
 
 
 def aoi_box(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,7 @@ def undistort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how far points move; with fractions of pixels, which are not cut off first."""
     df = camera.undistort_point(view(spark, sf_dir, "gcp"), "pixel_u", "pixel_v", *K, d=DISTORTION)
     moved = F.hypot(c("und_u") - c("pixel_u"), c("und_v") - c("pixel_v"))
     return df.withColumn("moved", moved).groupBy("cam_id").agg(F.round(F.max("moved"), 4).alias("max_px"), F.max_by("gcp_id", F.struct(F.round("moved", 6), -c("gcp_id"))).alias("worst"))
@@ -142,12 +144,12 @@ def _utm_sql() -> str:
 
 ORACLE = {
     "flat_project": sql("camera", "pixel_of_order") + f",\n{_PIXELS},\n" + sqlgeo.rotation("rot", "v_camera") + ",\nj AS (SELECT rot.*, u, v FROM px JOIN rot USING (cam_id)),\n" + sqlgeo.ray("ry", "j", *K) + ",\n" + sqlgeo.direct("hit", "ry") + "\nSELECT cam_id, u, v, round(lat, 7) AS lat, round(lon, 7) AS lon FROM hit",
-    "flat_grid": sql("camera") + ",\n" + sqlgeo.rotation("rot", "v_camera") + f",\nj AS (SELECT rot.*, px::DOUBLE AS u, py::DOUBLE AS v FROM rot, range(0, {WIDTH}, 100) a(px), range(0, {HEIGHT}, 100) b(py) WHERE cam_id <= 20),\n" + sqlgeo.ray("ry", "j", *K) + ",\n" + sqlgeo.direct("hit", "ry") + "\nSELECT cam_id, u::BIGINT AS pixel_x, v::BIGINT AS pixel_y, round(lat, 7) AS lat, round(lon, 7) AS lon FROM hit WHERE lat IS NOT NULL",
+    "flat_grid": sql("camera") + ",\n" + sqlgeo.rotation("rot", "v_camera") + f",\nj AS (SELECT rot.*, px::DOUBLE AS u, py::DOUBLE AS v FROM rot, range(0, {WIDTH}, 100) a(px), range(0, {HEIGHT}, 100) b(py)),\n" + sqlgeo.ray("ry", "j", *K) + ",\n" + sqlgeo.direct("hit", "ry") + "\nSELECT cam_id, u::BIGINT AS pixel_x, v::BIGINT AS pixel_y, round(lat, 7) AS lat, round(lon, 7) AS lon FROM hit WHERE lat IS NOT NULL",
     "gsd": sql("camera") + f" SELECT cam_id, round(height/sin(abs(radians(pitch)))/{FX!r}::DOUBLE, 10) AS gsd_x, round(height/sin(abs(radians(pitch)))/{FY!r}::DOUBLE, 10) AS gsd_y FROM v_camera",
     "scale_k": sql("camera") + f", s AS (SELECT cam_id, (800 + (cam_id % 7) * 200)::DOUBLE AS w, (600 + (cam_id % 5) * 150)::DOUBLE AS h FROM v_camera) SELECT cam_id, round({FX!r}::DOUBLE*w/{WIDTH}::DOUBLE, 8) AS fx, round({FY!r}::DOUBLE*h/{HEIGHT}::DOUBLE, 8) AS fy, round({CX!r}::DOUBLE*w/{WIDTH}::DOUBLE, 8) AS cx, round({CY!r}::DOUBLE*h/{HEIGHT}::DOUBLE, 8) AS cy FROM s",
     "nominal_k": sql("camera") + ", s AS (SELECT cam_id, (640 + (cam_id % 9) * 160)::DOUBLE AS w, (480 + (cam_id % 6) * 120)::DOUBLE AS h FROM v_camera) SELECT cam_id, round(3.6e0/3.68e0*w, 8) AS fx_sensor, round(3.6e0/2.76e0*h, 8) AS fy_sensor, round(2000*w/2592, 8) AS fx_terrain, round(4.44e0/4.614e0*w, 8) AS fx_phone, w/2 AS cx, h/2 AS cy FROM s",
     "gcp_residuals": _gcp_hits() + ",\n" + sqlgeo.inverse("ik", "hit", "known_lat", "known_lon", "cam_lat", "cam_lon", "ke", "kn") + ",\n" + sqlgeo.inverse("ip", "ik", "lat", "lon", "cam_lat", "cam_lon", "pe", "pn2") + "\nSELECT gcp_id, round(coalesce(lat - known_lat, 'nan'::DOUBLE), 7) + 0.0e0 AS err_lat, round(coalesce(lon - known_lon, 'nan'::DOUBLE), 7) + 0.0e0 AS err_lon, round(coalesce(sqrt((pe-ke)*(pe-ke) + (pn2-kn)*(pn2-kn)), 'nan'::DOUBLE), 3) AS err_m FROM ip",
-    "gcp_rms": _gcp_hits() + "\nSELECT cam_id, count(*) AS n, round(sqrt(avg((lat-known_lat)*(lat-known_lat) + (lon-known_lon)*(lon-known_lon))/2), 7) AS rms_deg, round(sqrt(avg((lat-known_lat)*(lat-known_lat) + (lon-known_lon)*(lon-known_lon))/2)*111320*cos(radians(any_value(cam_lat))), 2) AS rms_m FROM hit WHERE lat IS NOT NULL GROUP BY cam_id",
+    "gcp_rms": _gcp_hits() + ",\np AS MATERIALIZED (SELECT cam_id, cam_lat, lat, lon, known_lat, known_lon FROM hit),\no AS MATERIALIZED (SELECT cam_id, cam_lat, lat, coalesce(lat - known_lat, 100e0) AS a, coalesce(lon - known_lon, 100e0) AS b FROM p)\nSELECT cam_id, count(lat) AS hits, count(*) - count(lat) AS misses, round(sqrt(avg(a*a + b*b)/2), 7) AS rms_deg, round(sqrt(avg(a*a + b*b)/2)*111320*cos(radians(any_value(cam_lat))), 2) AS rms_m FROM o GROUP BY cam_id",
     "aoi_box": sql("camera") + ", b AS (SELECT cam_id, cam_lat, cam_lon, 500e0/111320 AS dlat, 500e0/(111320*cos(radians(cam_lat))) AS dlon FROM v_camera) SELECT cam_id, vertex::BIGINT AS vertex, round(cam_lon + dlon*(CASE WHEN vertex IN (1, 2) THEN 1 ELSE -1 END), 7) AS lon, round(cam_lat + dlat*(CASE WHEN vertex IN (2, 3) THEN 1 ELSE -1 END), 7) AS lat FROM b, range(5) r(vertex)",
     "undistort": _undistort_sql() + "\nSELECT gcp_id, round(und_u, 5) AS und_u, round(und_v, 5) AS und_v FROM und",
     "max_displacement": _undistort_sql() + ",\nm AS (SELECT *, sqrt((und_u-pixel_u)*(und_u-pixel_u) + (und_v-pixel_v)*(und_v-pixel_v)) AS moved FROM und)\nSELECT cam_id, round(max(moved), 4) AS max_px, first(gcp_id ORDER BY round(moved, 6) DESC, gcp_id) AS worst FROM m GROUP BY cam_id",

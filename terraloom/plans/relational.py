@@ -52,13 +52,13 @@ def heading_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("node").agg(F.count("*").alias("n"), F.round(F.avg("h"), 6).alias("mean_deg"), F.round(F.stddev_pop("h"), 6).alias("std_deg"))
 
 
-_DSM = sql("point") + f", placed AS (SELECT floor(({Y1}e0 - y)/{CELL}e0)::BIGINT AS row, floor((x - {X0}e0)/{CELL}e0)::BIGINT AS col, z FROM v_point), cells AS (SELECT row, col, max(z) AS z FROM placed WHERE row BETWEEN 0 AND {ROWS - 1} AND col BETWEEN 0 AND {COLS - 1} GROUP BY row, col)"
+DSM_SQL = sql("point") + f", placed AS (SELECT floor(({Y1}e0 - y)/{CELL}e0)::BIGINT AS row, floor((x - {X0}e0)/{CELL}e0)::BIGINT AS col, z FROM v_point), cells AS (SELECT row, col, max(z) AS z FROM placed WHERE row BETWEEN 0 AND {ROWS - 1} AND col BETWEEN 0 AND {COLS - 1} GROUP BY row, col)"
 
 ORACLE = {
-    "grid_max_dsm": _DSM + " SELECT row, col, round(z, 4) AS z FROM cells",
+    "grid_max_dsm": DSM_SQL + " SELECT row, col, round(z, 4) AS z FROM cells",
     "grid_max_las": sql("point") + ", placed AS (SELECT least(69, greatest(0, trunc(y)::BIGINT)) AS row, least(89, greatest(0, trunc(x)::BIGINT)) AS col, z FROM v_point) SELECT row, col, round(max(z), 4) AS z FROM placed GROUP BY row, col",
-    "dsm_stats": _DSM + f" SELECT count(*) AS cells, round(count(*)/{COLS * ROWS}e0, 6) AS coverage, round(min(z), 4) AS z_min, round(max(z), 4) AS z_max, round(avg(z), 4) AS z_mean, round(stddev_pop(z), 4) AS z_std FROM cells",
-    "pose_above_dsm": _DSM + ", " + sql("pose").removeprefix("WITH ") + f", p AS (SELECT v_pose.*, alt - z AS above FROM v_pose LEFT JOIN cells ON row = floor(({Y1}e0 - y)/{CELL}e0) AND col = floor((x - {X0}e0)/{CELL}e0)) SELECT pose_id, CASE WHEN above IS NULL THEN 'outside' WHEN above < 0 THEN 'below' ELSE 'inside' END AS place, round(above, 4) AS above FROM p",
+    "dsm_stats": DSM_SQL + f" SELECT count(*) AS cells, round(count(*)/{COLS * ROWS}e0, 6) AS coverage, round(min(z), 4) AS z_min, round(max(z), 4) AS z_max, round(avg(z), 4) AS z_mean, round(stddev_pop(z), 4) AS z_std FROM cells",
+    "pose_above_dsm": DSM_SQL + ", " + sql("pose").removeprefix("WITH ") + f", p AS (SELECT v_pose.*, alt - z AS above FROM v_pose LEFT JOIN cells ON row = trunc(({Y1}e0 - y)/{CELL}e0) AND col = trunc((x - {X0}e0)/{CELL}e0)) SELECT pose_id, CASE WHEN above IS NULL THEN 'outside' WHEN above < 0 THEN 'below' ELSE 'inside' END AS place, round(above, 4) AS above FROM p",
     "corr_join": sql("match", "obs") + " SELECT match_id, pt_id, u, v FROM v_match JOIN v_obs ON img_a = image_id AND kp_a = kp_id",
     "untriangulated_anti": sql("match", "obs") + " SELECT match_id, img_a, img_b FROM v_match WHERE NOT EXISTS (SELECT 1 FROM v_obs WHERE image_id = img_a AND kp_id = kp_a) AND NOT EXISTS (SELECT 1 FROM v_obs WHERE image_id = img_b AND kp_id = kp_b)",
     "heading_stats": sql("imu") + f", h AS (SELECT node, CASE WHEN yaw + ({DECLINATION}e0) < 0 THEN yaw + ({DECLINATION}e0) + 360 ELSE yaw + ({DECLINATION}e0) END AS h FROM v_imu) SELECT node, count(*) AS n, round(avg(h), 6) AS mean_deg, round(stddev_pop(h), 6) AS std_deg FROM h GROUP BY node",
