@@ -30,9 +30,15 @@ def verdicts(images: DataFrame) -> DataFrame:
     return df.withColumn("selected", F.size("reasons") == 0)
 
 
-def report_line(df: DataFrame) -> Column:
-    """A line of the report: fixed decimals, reasons joined by semicolons."""
-    return F.concat_ws(",", c("image_id").cast("string"), F.format_string("%.1f", "sharpness"), F.format_string("%.1f", "brightness"), F.format_string("%.4f", "coverage"), F.format_string("%.2f", "tilt_deg"), F.format_string("%.4f", "reproj_error"), F.when(c("selected"), "yes").otherwise("no"), F.concat_ws("; ", "reasons"))
+def report_columns() -> list[Column]:
+    """The report's columns as text: fixed decimals, reasons joined by semicolons."""
+    decimals = {"sharpness": 1, "brightness": 1, "coverage": 4, "tilt_deg": 2, "reproj_error": 4}
+    numbers = [F.format_string(f"%.{d}f", k).alias(k) for k, d in decimals.items()]
+    return [c("image_id").cast("string").alias("image_id"), *numbers, F.when(c("selected"), "yes").otherwise("no").alias("selected"), F.concat_ws("; ", "reasons").alias("reject_reasons")]
+
+
+def report_line() -> Column:
+    return F.concat_ws(",", *report_columns())
 
 
 def diversity(judged: DataFrame, by: str) -> DataFrame:

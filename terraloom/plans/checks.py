@@ -26,7 +26,7 @@ def calib_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calib_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _judged(spark, sf_dir)
-    return df.select("image_id", inspection.report_line(df).alias("line"))
+    return df.select("image_id", inspection.report_line().alias("line"))
 
 
 def calib_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
