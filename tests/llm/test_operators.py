@@ -409,3 +409,20 @@ def test_language_id_of_odd_rows_with_a_model(spark, docs):
     found = {r.doc_id: r for r in langid.predict(taught.union(odd_rows)).where("doc_id < 0 OR doc_id IS NULL").collect()}
     assert [found[i].lang_pred for i in (-1, -2, -3)] == ["und"] * 3 and [found[i].score for i in (-1, -2, -3)] == [0.0] * 3
     assert found[None].lang_pred != "und" and found[-4].lang_pred != "und"
+
+
+def test_edited_notices_are_found():
+    machine, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(1)
+    texts, names = [], []
+    for name, own in licenses.TEMPLATES.items():
+        for text in own:
+            assert name in [r[1] for r in machine.scan(pa.array([f"Some words before it. {text} And some after."]), licenses.MIN_DICE)]
+            words = text.split()
+            for _ in range(10 if len(words) >= 20 else 0):
+                for i in rng.sample(range(len(words)), max(1, len(words) // 25)):
+                    words[i] = "changed"
+                texts.append(" ".join(["before", *words, "after"]))
+                names.append(name)
+                words = text.split()
+    found = {r[0] for r in machine.scan(pa.array(texts), licenses.MIN_DICE)}
+    assert len(found) >= 0.9 * len(texts) > 100
