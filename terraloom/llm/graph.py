@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terraloom.llm.shared import delete, materialise, new_path
@@ -20,10 +20,12 @@ def components(links: DataFrame) -> DataFrame:
 
     def state(df: DataFrame) -> tuple[DataFrame, tuple]:
         before.append(new_path(spark, "star"))
-        df = materialise(df.distinct(), "star", before[-1])
+        seen = Observation()
+        marks = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+        df = materialise(df.distinct().observe(seen, *marks), "star", before[-1])
         if len(before) > 1:
             delete(spark, before.pop(0))
-        return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        return df, (seen.get["n"], seen.get["sum"])
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.union(edges.select("v", "u")) if large else edges  # u > v in edges

@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +48,16 @@ from terraloom.llm.shared import Scratch, materialise
 
 #: The sketch has 2**SKETCH_BITS counts of half a byte; the driver and each worker hold it.
 #: It decides how many candidates there are, never which links are found.
-SKETCH_BITS, CHUNK_BITS = 26, 20
+SKETCH_BITS, CHUNK_BITS = 25, 20
 #: The highest code of a count, and the salts that lists of such shingles are dealt out by.
 HOT, HOT_SALTS = 15, 64
 #: Classes whose shingles a task counts once, at most.
 SEEN = 200_000
 #: Pivots of each list in the rounds after the first, which go on as long as lists hold
 #: this many pairs of different components for each entry.
-PIVOTS, PAIRS_A_ROW = (4, 16, 64), 2
+PIVOTS, PAIRS_A_ROW = (8, 64), 2
 #: Each of these rounds looks at one in so many lists, as sets that link share many.
-LIST_SHARE = 4
+LIST_SHARE = 2
 #: Rows of ids or classes are broadcast up to this number (16 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A component's rows are dealt out by so many salts.
@@ -138,10 +139,10 @@ def _code(codes: np.ndarray, shingle: np.ndarray) -> np.ndarray:
     return codes[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & np.uint8(15)
 
 
-def index_lists(docs: DataFrame, percent: int, codes: np.ndarray, size: int, lower: bool) -> DataFrame:
+def index_lists(docs: DataFrame, percent: int, known: Broadcast[np.ndarray], size: int, lower: bool) -> DataFrame:
     """POSTINGS, of documents (class, text): for each shingle of each set's prefix, the
-    set's class and size and the shingle's place; only of shingles that several have."""
-    known = docs.sparkSession.sparkContext.broadcast(codes)
+    set's class and size and the shingle's place; only of shingles that several have.
+    known: the sketch's codes."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,18 +305,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     documents; two link when 100 * shared >= percent * all of their shingles."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    table = materialise(class_table(docs, size, lower), "classes")
-    classes = table.where("chunk IS NULL").drop("chunk", "counts")
     with Scratch(spark) as scratch:
+        table = scratch.write(class_table(docs, size, lower), "seen")
+        classes = materialise(table.where("chunk IS NULL").drop("chunk", "counts"), "classes")
+        n = classes.where("class IS NOT NULL").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        codes = spark.sparkContext.broadcast(sketch(table.where("chunk IS NOT NULL").select("chunk", "counts"), n / 2**SKETCH_BITS))
+        scratch.drop()  # the counts aren't needed any more
         first = classes.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
         first = scratch.write(first.select("class", "d.doc_id", "d.text_key"), "first")
-        n = classes.where("class IS NOT NULL").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-        codes = sketch(table.where("chunk IS NOT NULL").select("chunk", "counts"), n / 2**SKETCH_BITS)
 
         def texts(of: DataFrame) -> DataFrame:  # class and text of the documents that stand for classes
             return docs.join(small(of), ["doc_id", "text_key"]).select("class", "text")
 
         lists = scratch.write(index_lists(texts(first), percent, codes, size, lower), "postings")
+        codes.destroy()
         lists = scratch.write(lists.join(lists.groupBy("shingle").agg(F.min("class").alias("pivot")), "shingle"), "lists")
         members = scratch.write(first.join(lists.select("class").distinct(), "class", "left_semi"), "members")
         sets = scratch.write(set_table(texts(members), size, lower), "sets")

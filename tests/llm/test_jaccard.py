@@ -78,11 +78,12 @@ def test_lists_hold_shingles_of_several_classes_across_batches(spark, monkeypatc
     rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(14)], k=40))) for i in range(60)] * 2
     df = spark.createDataFrame(rows, "class long, text string")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    codes = spark.sparkContext.broadcast(np.zeros(1 << (jaccard.SKETCH_BITS - 1), np.uint8))
     try:
         for batch, hot in ((3, 15), (1000, 15), (7, 0)):
             monkeypatch.setattr(jaccard, "HOT", hot)
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-            found = jaccard.index_lists(df, 1, np.zeros(1 << (jaccard.SKETCH_BITS - 1), np.uint8), 2, True).collect()
+            found = jaccard.index_lists(df, 1, codes, 2, True).collect()
             told = {(r.shingle, r["class"]) for r in found}
             every = {(int(x.astype(np.int64)), i) for i, t in rows for x in next(shingles.sets(pa.array([t]), 2, True))}
             several = {(s, i) for s, i in every if len({j for z, j in every if z == s}) > 1}
