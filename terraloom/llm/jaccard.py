@@ -48,7 +48,7 @@ from terraloom.llm.shared import Scratch, materialise
 
 #: The sketch has 2**SKETCH_BITS counts of half a byte; the driver and each worker hold it.
 #: It decides how many candidates there are, never which links are found.
-SKETCH_BITS, CHUNK_BITS = 25, 20
+SKETCH_BITS, CHUNK_BITS = 26, 20
 #: The highest code of a count, and the salts that lists of such shingles are dealt out by.
 HOT, HOT_SALTS = 15, 64
 #: Classes whose shingles a task counts once, at most.
@@ -112,7 +112,7 @@ def class_table(docs: DataFrame, size: int, lower: bool) -> DataFrame:
     return docs.mapInArrow(run, CLASSES)
 
 
-def sketch(chunks: DataFrame, mean: float) -> np.ndarray:
+def sketch(chunks: DataFrame, mean: float, scratch: Scratch) -> np.ndarray:
     """Codes of all buckets' counts, two in a byte: twice the logarithm (base 2) of the
     count's ratio to the mean, or to 1 if the mean is less."""
     size = 1 << CHUNK_BITS
@@ -127,7 +127,9 @@ def sketch(chunks: DataFrame, mean: float) -> np.ndarray:
             code = np.clip(np.ceil(2 * np.log2(np.maximum(n, 1) / max(1.0, mean))), 0, HOT).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(code[::2] | code[1::2] << 4).tobytes()], pa.binary())], ["chunk", "counts"])
 
-    told = chunks.repartition("chunk").mapInArrow(add, "chunk long, counts binary").toArrow()  # half a byte for each bucket
+    # written first, as that lets the shuffle's files go at once
+    told = scratch.write(chunks.repartition("chunk").mapInArrow(add, "chunk long, counts binary"), "codes").toArrow()  # half a byte for each bucket
+    scratch.drop()
     out = np.zeros(1 << (SKETCH_BITS - 1), np.uint8)
     for k, codes in zip(told.column("chunk").to_pylist(), told.column("counts").to_pylist()):
         out[k // 2 : (k + size) // 2] = np.frombuffer(codes, np.uint8)
@@ -309,7 +311,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
         table = scratch.write(class_table(docs, size, lower), "seen")
         classes = materialise(table.where("chunk IS NULL").drop("chunk", "counts"), "classes")
         n = classes.where("class IS NOT NULL").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-        codes = spark.sparkContext.broadcast(sketch(table.where("chunk IS NOT NULL").select("chunk", "counts"), n / 2**SKETCH_BITS))
+        codes = spark.sparkContext.broadcast(sketch(table.where("chunk IS NOT NULL").select("chunk", "counts"), n / 2**SKETCH_BITS, scratch))
         scratch.drop()  # the counts aren't needed any more
         first = classes.where("class IS NOT NULL AND doc_id IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("d"))
         first = scratch.write(first.select("class", "d.doc_id", "d.text_key"), "first")
