@@ -1,4 +1,5 @@
 import hashlib
+import sys
 import random
 import re
 import zlib
@@ -11,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+sys.path.insert(0, __file__.rpartition("/")[0])
+
 import corpus_pipeline
 from terraloom.llm import bitpack, chat, decontam, jaccard, langid, licenses, linedup, packing, quality, registry, wordpiece
 
@@ -426,3 +429,26 @@ def test_edited_notices_are_found():
                 words = text.split()
     found = {r[0] for r in machine.scan(pa.array(texts), licenses.MIN_DICE)}
     assert len(found) >= 0.9 * len(texts) > 100
+
+
+def test_pipeline_matches_its_stages_done_plainly(spark, docs, ids):
+    """Every stage over all that its predecessor kept, each by a plain computation."""
+    from test_jaccard import brute
+
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    kept = {r.doc_id for r in quality.judge(docs, labels).collect() if r.kept}
+    left = [r for r in docs.collect() if r.doc_id in kept]
+    told = linedup.drop_lines(spark.createDataFrame(left, docs.schema)).collect()
+    left = [(r.doc_id, r.text) for r in told if not r.n_dropped_lines or r.text.strip()]
+    left = [(i, t) for i, t in left if (i, i) in {(a, c) for a, _, c in brute(left, 5, 80)}]
+    table = decontam.Table([(r.item_id, r.text) for r in items])
+    lost = {r for r, *_ in table.leaks(pa.array([t for _, t in left]))}
+    left = [x for k, x in enumerate(left) if k not in lost]
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder.encode_special_tokens = True
+    want = {i: len(coder.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left}
+    found = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert found == want and 0 < len(want) < len(kept)
