@@ -15,6 +15,8 @@ c = F.col
 #: of a point that misses the ground, and the scale and evaluations of the robust fit.
 LEAST_SPLINE, LEAST_SIMILARITY, LEAST_POSE = 6, 3, 3
 MISS, LOSS_SCALE, EVALUATIONS = 100.0, 0.1, 500
+#: A fit ends when a step gains less than this share of its loss.
+SETTLED = 1e-8
 WEIGHTS = "px double, py double, w_lat double, w_lon double"
 SIMILARITY = "scale double, rotation array<double>, shift array<double>, n long"
 POSE = "lat double, lon double, height double, heading double, pitch double, roll double, rms_deg double"
@@ -139,11 +141,12 @@ def refine_poses(gcps: DataFrame, by: str, k: tuple[float, float, float, float])
                     move = np.linalg.lstsq(normal + damp * np.diag(np.diag(normal) + 1e-30), -slope, rcond=None)[0]
                     made = np.clip(x + unit * move, lo, hi)
                     used += 1
-                    if loss(errors(made)) < loss(e):
+                    gain = loss(e) - loss(errors(made))
+                    if gain > 0:
                         x, damp = made, damp / 10
                         break
                     damp *= 10
-                else:
+                if gain <= SETTLED * loss(e):
                     break
             rms = float(np.sqrt(np.mean(errors(x) ** 2)))
         return pd.DataFrame([(key[0], x[1], x[0], *x[2:], rms)], columns=[by, *(f.split()[0] for f in POSE.split(", "))])
