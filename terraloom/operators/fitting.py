@@ -151,4 +151,5 @@ def refine_poses(gcps: DataFrame, by: str, k: tuple[float, float, float, float])
             rms = float(np.sqrt(np.mean(errors(x) ** 2)))
         return pd.DataFrame([(key[0], x[1], x[0], *x[2:], rms)], columns=[by, *(f.split()[0] for f in POSE.split(", "))])
 
-    return gcps.groupBy(by).applyInPandas(fit, f"{by} long, {POSE}")
+    # few rows but much work for each, so they are dealt out to all cores
+    return gcps.repartition(gcps.sparkSession.sparkContext.defaultParallelism, by).groupBy(by).applyInPandas(fit, f"{by} long, {POSE}")
