@@ -6,16 +6,22 @@ east; pitch 0 is level and -90 straight down; positive roll tips the right side
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions.geodesy import enu_to_latlon, reduced_latitude
-from terraloom.functions.stages import staged
+from terraloom.functions.geodesy import enu_to_latlon, enu_to_latlon_arrays, reduced_latitude
+from terraloom.functions.stages import dealt, staged
 
 c = F.col
 AXES = [f"{axis}_{d}" for axis in ("right", "down", "fwd") for d in "enu"]
 #: Rolls below this many degrees count as level.
 LEVEL = 1e-6
+#: Pixels of a grid that are computed at once, about.
+GRID_ROWS = 1 << 15
 
 
 def camera_axes(df: DataFrame, heading: str = "heading", pitch: str = "pitch", roll: str = "roll") -> DataFrame:
@@ -64,6 +70,37 @@ def pixels_to_ground(df: DataFrame, fx: float, fy: float, cx: float, cy: float,
     return df
 
 
+def grid_to_ground(cameras: DataFrame, by: str, width: int, height: int, step: int, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
+    """``by``, u, v, lat and lon of every prepared camera's pixels at each ``step`` that
+    meet flat ground, as pixel_grid and pixels_to_ground give them.
+
+    A camera is one row and becomes hundreds: cameras are dealt out to all cores, as a
+    table of one small file would be one task, and only they go to Python, where their
+    pixels are arrays of about GRID_ROWS.  A camera with a null in its pose hits nothing."""
+    names = ["height", "cam_lon", "_sin_u", "_cos_u", *AXES]
+    own = cameras.select(by, *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, u = (x.ravel() for x in np.meshgrid(np.arange(0, height, step, dtype=float), np.arange(0, width, step, dtype=float), indexing="ij"))
+        at_once = max(1, GRID_ROWS // len(u))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, at_once):
+                part = batch.slice(lo, at_once)
+                c = {n: part.column(n).to_numpy(zero_copy_only=False).astype(float)[:, None] for n in names}
+                for p in range(0, len(u), GRID_ROWS):
+                    x, y = (u[p : p + GRID_ROWS] - cx) / fx, (v[p : p + GRID_ROWS] - cy) / fy
+                    n = np.sqrt(x * x + y * y + 1)
+                    ray = {d: (x * c[f"right_{d}"] + y * c[f"down_{d}"] + c[f"fwd_{d}"]) / n for d in "enu"}
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        far = np.where(np.abs(ray["u"]) >= 1e-9, -c["height"] / ray["u"], np.nan)
+                        row, k = np.nonzero(far >= 0)
+                    far = far[row, k]
+                    lat, lon = enu_to_latlon_arrays(far * ray["e"][row, k], far * ray["n"][row, k], *(c[f][row, 0] for f in ("_sin_u", "_cos_u", "cam_lon")))
+                    yield pa.RecordBatch.from_arrays([part.column(by).take(pa.array(row)), *map(pa.array, (u[p + k], v[p + k], lat, lon))], [by, "u", "v", "lat", "lon"])
+
+    return dealt(own).mapInArrow(run, f"{by} {own.schema[by].dataType.simpleString()}, u double, v double, lat double, lon double")
+
+
 def scaled(f: float | Column, size: Column, calibrated: float | Column) -> Column:
     """A focal length or principal coordinate for another image size."""
     return f * size / calibrated

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def enu_to_latlon(df: DataFrame, east: str, north: str, lat0: str, lon0: str, la
     return staged(df, steps, [lat, lon]).drop("_sin_u", "_cos_u")
 
 
+def enu_to_latlon_arrays(east: np.ndarray, north: np.ndarray, sin_u: np.ndarray, cos_u: np.ndarray, lon0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lat and lon as ``enu_to_latlon`` gives them, of arrays, from the origins' reduced
+    latitude and longitude."""
+    s = np.sqrt(east * east + north * north)
+    near = s == 0
+    far = np.where(near, 1.0, s)
+    sa, ca = np.where(near, 0.0, east / far), np.where(near, 1.0, north / far)
+    sal, two_s1 = cos_u * sa, 2 * np.arctan2(sin_u, cos_u * ca)
+    c2 = 1 - sal * sal
+    big_a, big_b = _series(c2 * EP2)
+    sigma = first = s / (B * big_a)
+    for _ in range(STEPS_DIRECT):
+        sigma = first + _delta(big_b, np.sin(sigma), np.cos(sigma), np.cos(two_s1 + sigma))
+    ss, cs, cm = np.sin(sigma), np.cos(sigma), np.cos(two_s1 + sigma)
+    w = sin_u * ss - cos_u * cs * ca
+    cc = FLAT / 16 * c2 * (4 + FLAT * (4 - 3 * c2))
+    turn = sigma + cc * ss * (cm + cc * cs * (-1 + 2 * cm * cm))
+    lat = np.arctan2(sin_u * cs + cos_u * ss * ca, (1 - FLAT) * np.sqrt(sal * sal + w * w))
+    lam = np.arctan2(ss * sa, cos_u * cs - sin_u * ss * ca)
+    return np.degrees(lat), lon0 + np.degrees(lam - (1 - cc) * FLAT * sal * turn)
+
+
 def latlon_to_enu(df: DataFrame, lat: str, lon: str, lat0: str, lon0: str, east: str = "east", north: str = "north") -> DataFrame:
     """Adds ``east`` and ``north`` of a position in the plane about an origin."""
     steps = [{"_u1": F.atan((1 - FLAT) * F.tan(F.radians(lat0))), "_u2l": F.atan((1 - FLAT) * F.tan(F.radians(lat))), "_l": F.radians(c(lon) - c(lon0))}]

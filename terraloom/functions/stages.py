@@ -19,3 +19,9 @@ def staged(df: DataFrame, steps: Sequence[dict[str, Column]], keep: Sequence[str
     for step in steps:
         df = df.withColumns(step)
     return df.drop(*added)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``'s rows dealt out evenly, in at least as many tasks as there are cores."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

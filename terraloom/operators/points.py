@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.geodesy import latlon_to_enu
+from terraloom.functions.stages import dealt
 
 c = F.col
 #: Fixed value: what a point that misses the ground counts as, in both errors.
@@ -13,8 +14,11 @@ MISS_DEGREES = 100.0
 
 
 def pixel_grid(cameras: DataFrame, width: int, height: int, step: int) -> DataFrame:
-    """Every camera's pixels (u, v) at each ``step``; rows from the top, then columns."""
-    rows = cameras.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))))
+    """Every camera's pixels (u, v) at each ``step``; rows from the top, then columns.
+
+    Cameras are few and become very many rows, so they are dealt out to all cores first:
+    a table of one small file would be one task."""
+    rows = dealt(cameras).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(height - 1), F.lit(step))))
     rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(step))))
     return rows.withColumns({"u": c("u").cast("double"), "v": c("v").cast("double")})
 

@@ -27,7 +27,7 @@ def flat_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cameras = camera.prepare_cameras(view(spark, sf_dir, "camera"))
-    hits = camera.pixels_to_ground(points.pixel_grid(cameras, WIDTH, HEIGHT, 100), *K, on_miss="drop")
+    hits = camera.grid_to_ground(cameras, "cam_id", WIDTH, HEIGHT, 100, *K)
     return hits.select("cam_id", c("u").cast("bigint").alias("pixel_x"), c("v").cast("bigint").alias("pixel_y"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 

@@ -25,6 +25,26 @@ def test_grid_has_every_camera(spark):
     assert found.agg(F.count_distinct("cam_id")).first()[0] > 0.9 * cameras
 
 
+def test_a_table_of_one_file_is_dealt_out_to_all_cores(spark):
+    found = QUERIES["flat_grid"](spark, SF)
+    assert found.rdd.getNumPartitions() >= 8
+    assert points.pixel_grid(spark.range(40).coalesce(1), 300, 300, 100).rdd.getNumPartitions() >= 8
+
+
+def test_grid_in_arrays_is_the_grid_in_columns(spark):
+    rows = [(i, 43.0 + i / 7, -76.0 - i / 3, 3.0 + i, 37.0 * i, -5.0 - 8 * i, i - 5.0) for i in range(11)] + [(50, 43.0, -76.0, 4.0, 10.0, 30.0, 0.0), (51, 43.0, -76.0, None, 10.0, -30.0, 0.0), (None, 0.0, 0.0, 2.0, 10.0, -90.0, 0.0), (52, 43.0, -76.0, 0.0, 10.0, -60.0, 0.0)]
+    cameras = camera.prepare_cameras(spark.createDataFrame(rows, "id long, cam_lat double, cam_lon double, height double, heading double, pitch double, roll double"))
+    k = (1200.0, 1210.0, 960.0, 540.0)
+    told = lambda df: sorted(((r.id or -1, r.u, r.v), (r.lat, r.lon)) for r in df.collect())
+    want = told(camera.pixels_to_ground(points.pixel_grid(cameras, 1920, 1080, 60), *k, on_miss="drop"))
+    for rows_at_once in (camera.GRID_ROWS, 100):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(camera, "GRID_ROWS", rows_at_once)
+            found = told(camera.grid_to_ground(cameras, "id", 1920, 1080, 60, *k))
+        assert [x for x, _ in found] == [x for x, _ in want] and len(found) > 3000
+        assert max(abs(a - b) for (_, x), (_, y) in zip(found, want) for a, b in zip(x, y)) < 1e-12
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {n for n in QUERIES if n.startswith(("op", "pipeline"))}))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
