@@ -47,6 +47,41 @@ def test_pose_comes_back_from_its_own_points(spark):
     assert (found[2].lat, found[2].heading, found[2].rms_deg) == (43.15002, 32.0, None)
 
 
+def test_many_poses_are_fitted_together_as_each_alone(spark):
+    """1,500 images of 2 to 9 points; fits are exact to far below a millimetre."""
+    rng = np.random.default_rng(5)
+    rows, true = [], {}
+    for g in range(1500):
+        n = 2 + g % 8
+        pose = np.array([[-76.0, 43.0 + g * 1e-4, 6.0, 30.0 + g % 90, -40.0, 2.0]])
+        u, v = rng.uniform(100, 2500, (1, n)), rng.uniform(100, 1800, (1, n))
+        lat, lon = fitting._ground(pose, u, v, K)
+        near = pose[0] + [1e-5, -1e-5, 0.2, 1.0, 0.5, -0.5]
+        true[g] = near
+        rows += [(g, float(near[1]), float(near[0]), *map(float, near[2:]), *map(float, r)) for r in zip(u[0], v[0], lat[0], lon[0])]
+        if g % 5 == 0:
+            rows.append((*rows[-1][:9], None, -76.0))
+    names = "g long, cam_lat double, cam_lon double, height double, heading double, pitch double, roll double, pixel_u double, pixel_v double, lat double, lon double"
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], names)
+    found = {r.g: r for r in fitting.refine_poses(df, "g", K).collect()}
+    assert len(found) == 1500
+    for g, r in found.items():
+        if g % 8 == 0:
+            assert r.rms_deg is None and (r.lon, r.lat, r.height, r.heading, r.pitch, r.roll) == pytest.approx(tuple(true[g]))
+        else:
+            assert r.rms_deg is not None
+    assert np.median([r.rms_deg for r in found.values() if r.rms_deg is not None]) < 1e-9
+    with pytest.MonkeyPatch.context() as patch:  # in small parts, cut anywhere
+        patch.setattr(fitting, "FIT_POINTS", 20)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        few = {r.g: r for r in fitting.refine_poses(df.where("g < 100"), "g", K).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(few) == 100
+    for g, r in few.items():
+        assert (r.rms_deg is None) == (g % 8 == 0)
+        assert (r.height, r.heading) == pytest.approx((found[g].height, found[g].heading), abs=1e-3) or r.rms_deg < 1e-7
+
+
 def test_nearest_in_time_matches_a_search(spark):
     rng = np.random.default_rng(3)
     left = [(i, int(rng.integers(4)), int(rng.integers(5000))) for i in range(300)]
