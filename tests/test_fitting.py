@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -90,3 +92,30 @@ def test_nearest_in_time_matches_a_search(spark):
     found = {r.id: r.near and r.near.o for r in df.collect()}
     for i, k, t in left:
         assert found[i] == min(((abs(t - u), o) for o, g, u in right if g == k), default=(None, None))[1]
+
+
+def _spread(spark):
+    """Rows of ids, groups and codes: one group of all codes of 6 bits, one of few rows, one of equal codes."""
+    rng = np.random.default_rng(6)
+    rows = [(0, int(x)) for x in rng.integers(64, size=900)] + [(1, int(x)) for x in rng.integers(64, size=9)] + [(2, 5)] * 40 + [(3, 7), (4, None), (4, 1), (4, 62)]
+    return [(100 + i, g, x) for i, (g, x) in enumerate(rows)]
+
+
+def test_two_nearest_codes_are_those_of_all_pairs(spark):
+    df = spark.createDataFrame(_spread(spark), "id long, g long, x long").where("x IS NOT NULL")
+    queries = df.where("id % 3 = 0 OR g > 2").selectExpr("g", "id AS q_id", "x AS q_code")
+    base = df.selectExpr("g", "id AS b_id", "x AS b_code")
+    want = matching.two_nearest(queries, base, "g", matching.hamming_distance("q_code", "b_code")).selectExpr("q_id", "first", "CAST(d1 AS long) d1", "second", "CAST(d2 AS long) d2")
+    for bits in (6, 13):
+        found = matching.two_nearest_codes(queries, base, "g", bits).select(want.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(Exception, match="more than 5 bits"):
+        matching.two_nearest_codes(queries, base, "g", 5).collect()
+
+
+def test_no_row_for_each_pair(spark):
+    """A group of 20,000 rows has 400,000,000 pairs; what is joined has a row for each ray and array, or query."""
+    codes = spark.range(20000).selectExpr("1L AS g", "id", "(id * 2654435761) % 65536 AS x")
+    start = time.perf_counter()
+    assert matching.two_nearest_codes(codes.selectExpr("g", "id AS q_id", "x AS q_code"), codes.selectExpr("g", "id AS b_id", "x AS b_code"), "g", 16).count() == 20000
+    assert time.perf_counter() - start < 30
