@@ -115,6 +115,17 @@ def test_two_nearest_codes_are_those_of_all_pairs(spark):
 
 def test_no_row_for_each_pair(spark):
     """A group of 20,000 rows has 400,000,000 pairs; what is joined has a row for each ray and array, or query."""
+    rays = spark.range(20000).selectExpr("id AS ray_id", "1L AS g", "sin(id) AS dx", "cos(id) AS dy", "0D AS dz")
+    pts = spark.range(3000).selectExpr("1L AS g", "id AS pt_id", "id % 50 AS x", "id % 31 AS y", "id % 7 AS z").selectExpr("g", "pt_id", "CAST(x AS double) x", "CAST(y AS double) y", "CAST(z AS double) z")
+    found = {r.ray_id: r for r in matching.nearest_to_ray(rays.where("ray_id % 1000 = 0"), pts, "g").collect()}
+    p = np.array([(r.x, r.y, r.z) for r in pts.orderBy("pt_id").collect()])
+    for i in range(0, 20000, 1000):
+        d = np.array([np.sin(i), np.cos(i), 0.0])
+        t = p @ d
+        d2 = np.where(t >= 0, ((p - t[:, None] * d) ** 2).sum(axis=1), np.inf)
+        assert (i in found) == (d2.min() < 400)
+        if i in found:
+            assert found[i].d2 == pytest.approx(d2.min(), abs=1e-9) and found[i].t == pytest.approx(t[found[i].pt_id]) and d2[found[i].pt_id] == pytest.approx(d2.min(), abs=1e-9)
     codes = spark.range(20000).selectExpr("1L AS g", "id", "(id * 2654435761) % 65536 AS x")
     start = time.perf_counter()
     assert matching.two_nearest_codes(codes.selectExpr("g", "id AS q_id", "x AS q_code"), codes.selectExpr("g", "id AS b_id", "x AS b_code"), "g", 16).count() == 20000
