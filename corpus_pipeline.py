@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.llm import decontam, jaccard, linedup, packing, quality
-from terraloom.llm.shared import materialise, table
+from terraloom.llm.shared import let_go, materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -67,4 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        let_go(spark)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from terraloom.llm.shared import delete, materialise, new_path
+from terraloom.llm.shared import delete, let_go, materialise, new_path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,4 +41,5 @@ def components(links: DataFrame) -> DataFrame:
         if after == mark:
             break
         mark = after
+        let_go(spark)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import shingles
 from terraloom.llm.graph import components
-from terraloom.llm.shared import Scratch, materialise
+from terraloom.llm.shared import Scratch, let_go, materialise
 
 #: The sketch has 2**SKETCH_BITS counts of half a byte; the driver and each worker hold it.
 #: It decides how many candidates there are, never which links are found.
@@ -272,6 +272,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     known, found = None, None
     rows = lists.withColumn("component", F.col("class"))
     for pivots in (0, *PIVOTS):
+        let_go(sets.sparkSession)
         if pivots:  # lists whose sets are of one component stay closed
             own = found.select(F.col("node").alias("class"), "component")
             rows = rows.drop("component").join(small(own), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -292,6 +293,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
         rows = rows.drop("component").join(small(own), "class", "left").withColumn("component", F.coalesce("component", "class"))
         rows = scratch.write(rows.join(small(open_lists(rows).select("shingle")), "shingle", "left_semi"), "rows")
 
+    let_go(sets.sparkSession)
     both = known.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "o").union(known.select("b", "a", "o"))
     rows = rows.join(both, ["class", "pivot"], "left")
     self_ = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("o"))
@@ -299,6 +301,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     rest = block_pairs(rows, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
     rest = overlaps(scratch.write(rest, "pairs"), sets).where(linked(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     rest = scratch.write(rest, "rest")
+    let_go(sets.sparkSession)
     return components(rest.union(found.select("node", "component")))
 
 
@@ -307,6 +310,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     documents; two link when 100 * shared >= percent * all of their shingles."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    let_go(spark)
     with Scratch(spark) as scratch:
         table = scratch.write(class_table(docs, size, lower), "seen")
         classes = materialise(table.where("chunk IS NULL").drop("chunk", "counts"), "classes")
@@ -321,6 +325,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
 
         lists = scratch.write(index_lists(texts(first), percent, codes, size, lower), "postings")
         codes.destroy()
+        let_go(spark)
         lists = scratch.write(lists.join(lists.groupBy("shingle").agg(F.min("class").alias("pivot")), "shingle"), "lists")
         members = scratch.write(first.join(lists.select("class").distinct(), "class", "left_semi"), "members")
         sets = scratch.write(set_table(texts(members), size, lower), "sets")

@@ -90,3 +90,13 @@ def test_lists_hold_shingles_of_several_classes_across_batches(spark, monkeypatc
             assert len(found) >= len(told) and several <= told <= every and (hot == 0 or told == several and len(found) == len(told))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_garbage_of_ended_rounds_is_collected(spark):
+    """The driver's heap would else grow to its limit and stay there."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    rows = [(i, f"{' '.join(map(str, range(40)))} {i % 3}") for i in range(6)]
+    assert {r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert whole() - before >= 4
